@@ -1,0 +1 @@
+"""Reserved: the engine's data model has tables only, so there is nothing to stream (see README)."""
