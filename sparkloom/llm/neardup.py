@@ -32,8 +32,10 @@ THRESHOLD = 85  # percent
 BUCKET_BITS, MANTISSA = 6, 10
 BUCKETS = 1 << BUCKET_BITS
 BAND = 4
-SMALL = 64
-BLOCK = 256
+#: Members up to which a bucket is compared pair by pair; members, and set values, of a block of a larger one.
+SMALL = 16
+BLOCK, BLOCK_VALUES = 512, 1_000_000
+COLUMNS = 4096
 _EDGES = np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 
 
@@ -147,31 +149,83 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(mixed, "key", "left_semi")
 
 
-def _rest(apart: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of different components that meet in a bucket; large buckets go block by block, over registers."""
-    small = apart.filter(F.col("n") <= SMALL)
-    one = small.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    two = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    pairs = one.join(two, "key").filter("a < b AND ca <> cb").select("a", "b")
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections, as products of incidence columns, a few thousand values at a time."""
+    rows_of = lambda sets: np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    both, (a, b) = np.intersect1d(np.concatenate(left), np.concatenate(right)), (rows_of(left), rows_of(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        part = both[at : at + COLUMNS]
+        sides = []
+        for sets, owner in ((left, a), (right, b)):
+            v = np.concatenate(sets)
+            k = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[k] == v
+            m = np.zeros((len(sets), len(part)), np.float32)
+            m[owner[hit], k[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _bridges(pairs: np.ndarray) -> np.ndarray:
+    """Indices of those pairs of components that join what was apart until then."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
 
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = apart.filter(F.col("n") > SMALL).withColumn("i", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
-    large = large.select("key", "rep", "comp", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i").join(nodes.select("rep", "regs", F.col("n").alias("size")), "rep")
+    keep = []
+    for i, (x, y) in enumerate(pairs.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _rest(apart: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """What still has to be compared, as pairs to test, and links that are confirmed already.
+
+    Small buckets give the pairs of different components in them. Members of large buckets are gathered in clusters
+    (buckets that share a member are one), each cluster is cut into blocks of bounded size, and every two blocks meet
+    in one task, which compares full sets and gives back only links between components, one for each join.
+    """
+    large = apart.filter(F.col("n") > SMALL)
+    heads = large.groupBy("key").agg(F.min("rep").alias("head"))
+    cluster = materialise(components(large.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b"))), "clusters")
+    in_cluster = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cl"))
+
+    small = apart.filter(F.col("n") <= SMALL).join(in_cluster, "rep", "left")
+    one = small.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("cl").alias("la"))
+    two = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("cl").alias("lb"))
+    pairs = one.join(two, "key").filter("a < b AND ca <> cb AND (la <> lb OR la IS NULL OR lb IS NULL)").select("a", "b")
+
+    held = large.select("rep", "comp").distinct().join(in_cluster, "rep").join(sets.withColumn("size", F.octet_length("s") / 8), "rep")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_VALUES)).cast("int")
+    blocks = held.groupBy("cl").agg(parts.alias("parts"))
+    dealt = held.join(blocks, "cl").withColumn("i", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("cl", "rep", "comp", "s", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i")
     ship(apart.sparkSession)
 
     def compare(t: pa.Table) -> pa.Table:
-        regs, rep, comp, size, i = _regs(t.column("regs")), *(t.column(c).to_numpy() for c in ("rep", "comp", "size", "i"))
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        left, right = np.flatnonzero(i == x), np.flatnonzero(i == y)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for p in left.tolist():
-            q = right[(comp[right] != comp[p]) & ((rep[right] > rep[p]) if x == y else True)]
-            q = q[plausible(regs[p][None, :], regs[q], float(size[p]), size[q].astype(float), threshold)] if len(q) else q
-            found.append((np.full(len(q), rep[p]), rep[q]))
-        a, b = (np.concatenate(z) if found else np.empty(0, np.int64) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        rep, comp, i = (t.column(c).to_numpy() for c in ("rep", "comp", "i"))
+        values = [np.frombuffer(s, np.uint64) for s in t.column("s").to_pylist()]
+        left, right = np.flatnonzero(i == t.column("x")[0].as_py()), np.flatnonzero(i == t.column("y")[0].as_py())
+        a = b = np.empty(0, np.int64)
+        if len(left) and len(right):
+            shared = _shared([values[k] for k in left], [values[k] for k in right])
+            n, m = (np.array([len(values[k]) for k in side], np.float32) for side in (left, right))
+            p, q = np.nonzero((100 * shared >= threshold * (n[:, None] + m[None, :] - shared)) & (comp[left][:, None] != comp[right][None, :]))
+            a, b = rep[left[p]], rep[right[q]]
+            kinds, first = np.unique(np.stack([comp[left[p]], comp[right[q]]], axis=1), axis=0, return_index=True)
+            at = first[_bridges(kinds)]
+            a, b = a[at], b[at]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return pairs.unionByName(large.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"))
+    return pairs, dealt.groupBy("cl", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -211,10 +265,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own = apart.select("key", F.col("rep").alias("drawn"), F.col("comp").alias("other"))
             pairs = apart.join(own, ["key", "drawn"]).filter("comp <> other").select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b"))
         else:
-            pairs = _rest(apart, nodes, threshold)
+            pairs, sure = _rest(apart, sets, threshold)
+            links = links.unionByName(materialise(sure, "links"))
         fresh = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
         links = links.unionByName(materialise(_links(fresh, nodes, sets, threshold), "links"))
         labels = materialise(components(links), "labels")
         tested = tested.unionByName(fresh)
