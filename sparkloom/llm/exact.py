@@ -18,8 +18,11 @@ BLOCK_CHARS = 16_384
 
 
 def _name(values: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """The distinct *values* with an integer each, ascending in sort order."""
-    ordered = values.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """The distinct *values* with an integer each, ascending in order of (hash, value).
+
+    Ranges are cut by the hash, so what the driver samples to find them is a number per value and not a block.
+    """
+    ordered = values.select(*keys).distinct().withColumn("at", F.xxhash64(*keys)).repartitionByRange("at").sortWithinPartitions("at", *keys).drop("at")
     return materialise(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
 
@@ -45,24 +48,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fall together, and each counts in ``group_size``. Null ids are kept apart from others: such a row is kept only
     if its whole group has null ids. An empty table gives an empty result; other columns are ignored.
     """
-    base = text_of(docs, id_col, text_col)
-    slim = materialise(base.select("doc_id", F.sha2(norm_text("text"), 256).alias("text_sha256")), "digests")
+    base = text_of(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    slim = materialise(base.select("doc_id", "th", F.sha2(norm_text("text"), 256).alias("text_sha256")), "digests")
     twice = slim.groupBy("text_sha256").count().filter("count > 1").select("text_sha256")
-    cand = materialise(
-        slim.join(twice, "text_sha256", "left_semi").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times")).withColumn("rid", F.monotonically_increasing_id()),
-        "candidates",
-    )
-    wanted = cand.select(F.col("doc_id").alias("cid")).distinct()
-    found = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("cid")), "left_semi").select("doc_id", norm_text("text").alias("t"))
-    texts = (
-        found.withColumn("text_sha256", F.sha2("t", 256)).alias("f")
-        .join(cand.alias("c"), F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.text_sha256") == F.col("c.text_sha256")))
-        .select("c.rid", "f.t", (F.col("c.times") > 1).alias("again"))
-    )
-    once = texts.filter("not again").select("rid", "t").unionByName(texts.filter("again").select("rid", "t").distinct())
+    cand = slim.join(twice, "text_sha256", "left_semi").groupBy("doc_id", "th", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    cand = materialise(cand.withColumn("rid", F.monotonically_increasing_id()), "candidates")
+    # The one shuffle of whole texts; only those of candidates are normalised and hashed again.
+    held = cand.select(F.col("doc_id").alias("cid"), F.col("th").alias("cth"), F.col("text_sha256").alias("csha"), "rid", "times")
+    found = base.join(held, F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("rid", "times", "csha", norm_text("text").alias("t"))
+    texts = found.filter(F.sha2("t", 256) == F.col("csha"))
+    once = texts.filter("times = 1").select("rid", "t").unionByName(texts.filter("times > 1").select("rid", "t").distinct())
     named = materialise(identities(once, block_chars).join(cand, "rid").select("name", "doc_id", "text_sha256", "times"), "identities")
     groups = named.groupBy("name").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    verdict = named.join(groups, "name").select(F.col("doc_id").alias("vid"), F.col("text_sha256").alias("vsha"), "keep_id", "group_size")
+    verdict = named.join(groups, "name").select(F.col("doc_id").alias("vid"), F.col("text_sha256").alias("vsha"), "keep_id", "group_size").distinct()
     out = slim.join(verdict, F.col("doc_id").eqNullSafe(F.col("vid")) & (F.col("text_sha256") == F.col("vsha")), "left")
     keep = F.when(F.col("vsha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
