@@ -60,9 +60,17 @@ class BlockIndex:
         out, level = [], 0
         for i, q in enumerate(query_ids.tolist()):
             exact, level = self._one(q, queries[i], norms[i], lo[i], hi[i], k, max(0, level - 1))
-            out += [(q, int(self.ids[j]), float(exact[j])) for j in _best(exact, self.ids, k)]
+            out += [(q, *found) for found in self._best(queries[i], exact, k, 1e-12 * self.scale * norms[i])]
         return out
 
+    def _best(self, q: np.ndarray, exact: np.ndarray, k: int, slack: float) -> list[tuple[int, float]]:
+        """Ids and scores of the k best. Sums row by row: equal vectors score equal, in whichever block they lie."""
+        least = np.partition(exact, -k)[-k] - slack if len(exact) > k else -np.inf
+        some = np.flatnonzero((exact >= least) & (exact > -np.inf))
+        score = (self.vectors[some] * q).sum(axis=1)
+        at = np.lexsort((self.ids[some], -score))[:k]
+        return list(zip(self.ids[some][at].tolist(), score[at].tolist(), strict=True))
+
     def _one(self, query_id: int, q: np.ndarray, norm: float, lo: np.ndarray, hi: np.ndarray, k: int, level: int) -> tuple[np.ndarray, int]:
         """Scores of the verified vectors, from windows of width *level* on, and the level that sufficed."""
         need = int(np.ceil(SHARE * len(self.directions)))
@@ -85,12 +93,6 @@ class BlockIndex:
         return exact, len(RADII) - 1
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    least = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-    some = np.flatnonzero((score >= least) & (score > -np.inf))
-    return some[np.lexsort((ids[some], -score[some]))[:k]]
-
-
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Vectors that take part: not null, not zero, every component a finite number."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))

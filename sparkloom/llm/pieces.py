@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Out, TwoGenerations, in_groups, map_arrow, rows, text_of
+from sparkloom.workspace import materialise
 
 CHUNK_CHARS = 1 << 16
+#: Transfer matrices that one task multiplies.
+FAN = 64
 MOST_KEPT = 400_000
 NONE = -np.inf
 _CUT = re.compile(r"(?<=[^ \n])[ \n]")
@@ -88,12 +91,12 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """State at every cut on the best path from no overhang to none: prefix products, then backwards."""
-    prefix = [np.where(np.arange(len(matrices[0])) == 0, 0.0, NONE)[None, :]]
+def states(matrices: list[np.ndarray], first: int = 0, last: int = 0) -> list[int]:
+    """State at every cut on the best path between two overhangs: prefix products, then backwards."""
+    prefix = [np.where(np.arange(len(matrices[0])) == first, 0.0, NONE)[None, :]]
     for m in matrices:
         prefix.append(max_plus(prefix[-1], m))
-    at = [0]
+    at = [last]
     for p, m in zip(prefix[-2::-1], matrices[::-1], strict=True):
         at.append(int(np.argmax(p[0] + m[:, at[-1]])))
     return at[::-1]
@@ -109,6 +112,85 @@ def segment(lexicon: Lexicon, text: str, chunk: int = CHUNK_CHARS) -> list[str]:
     return [p for (lo, hi), s, t in zip(spans, at, at[1:], strict=False) for p in lexicon.backtrace(text, lo, hi, s, t)]
 
 
+def segment_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, fan: int = FAN) -> DataFrame:
+    """One row per input row: ``doc_id, pieces, n_chunks``, the best segmentation under a unigram lexicon.
+
+    Texts beyond ``chunk_chars`` are cut, and their chunks summed up as transfer matrices all over the cluster. *fan*
+    neighbouring matrices are multiplied into one, level by level, until each document has one; on the way back every
+    level fixes the states at its cuts; then each chunk is backtraced where it lies. No task holds more than *fan*
+    matrices of a document. Of equally good segmentations any may come. A null or empty text has no pieces; rows that
+    repeat are segmented each.
+    """
+    base, k = text_of(docs, id_col, text_col), lexicon.longest
+    giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
+    whole = pa.schema([("doc_id", pa.int64()), ("pieces", pa.list_(pa.string()))])
+    cut = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int64()), ("part", pa.string()), ("ahead", pa.string())])
+    summed = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("m", pa.binary())])
+    fixed = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("s", pa.int32()), ("t", pa.int32())])
+    traced = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("pieces", pa.list_(pa.string()))])
+    matrix = lambda b: np.frombuffer(b).reshape(k, k)
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(whole)
+        for doc_id, text in rows(batches):
+            if out.add((doc_id, segment(lexicon, text or "", chunk_chars)), len(text or "")):
+                yield out.take()
+        yield out.take()
+
+    def cut_giants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        out, row = Out(cut), TaskContext.get().partitionId() << 33
+        for doc_id, text in rows(batches):
+            row += 1
+            for c, lo in enumerate(range(0, len(text), chunk_chars)):
+                hi = lo + chunk_chars
+                if out.add((doc_id, row, c, text[lo:hi], text[hi : hi + k]), chunk_chars):
+                    yield out.take()
+        yield out.take()
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(summed)
+        for row, c, part, ahead in rows(batches):
+            if out.add((row, c, lexicon.transfer(part + ahead, 0, len(part)).tobytes()), 8 * k * k):
+                yield out.take()
+        yield out.take()
+
+    def ordered(t: pa.Table) -> list[dict]:
+        return sorted(t.to_pylist(), key=lambda x: x["chunk"])
+
+    def multiply(t: pa.Table) -> pa.Table:
+        x = ordered(t)
+        product = reduce(max_plus, [matrix(y["m"]) for y in x])
+        return pa.Table.from_pylist([{"row": x[0]["row"], "chunk": x[0]["chunk"] // fan, "m": product.tobytes()}], summed)
+
+    def fix(parent: pa.Table, children: pa.Table) -> pa.Table:
+        (p,), x = parent.to_pylist(), ordered(children)
+        at = states([matrix(y["m"]) for y in x], p["s"], p["t"])
+        return pa.Table.from_pylist([{"row": y["row"], "chunk": y["chunk"], "s": s, "t": t} for y, s, t in zip(x, at, at[1:], strict=False)], fixed)
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(traced)
+        for row, doc_id, c, part, ahead, s, t in rows(batches):
+            if out.add((row, doc_id, c, lexicon.backtrace(part + ahead, 0, len(part), s, t)), len(part)):
+                yield out.take()
+        yield out.take()
+
+    small = map_arrow(base.filter(~giant), at_once, "doc_id long, pieces array<string>").withColumn("n_chunks", F.lit(1))
+    chunks = materialise(map_arrow(base.filter(giant), cut_giants, "doc_id long, row long, chunk long, part string, ahead string").repartition("row", "chunk"), "chunks")
+    levels = [materialise(map_arrow(chunks.select("row", "chunk", "part", "ahead"), sum_up, "row long, chunk long, m binary"), "matrices")]
+    while (levels[-1].agg(F.max("chunk")).first()[0] or 0) > 0:
+        levels.append(materialise(levels[-1].groupBy("row", F.expr(f"chunk div {fan}").alias("up")).applyInArrow(multiply, "row long, chunk long, m binary"), "matrices"))
+    known = levels.pop().select("row", "chunk", F.lit(0).alias("s"), F.lit(0).alias("t"))
+    for level in reversed(levels):
+        below = level.withColumn("up", F.expr(f"chunk div {fan}"))
+        known = materialise(known.groupBy("row", "chunk").cogroup(below.groupBy("row", "up")).applyInArrow(fix, "row long, chunk long, s int, t int"), "states")
+    parts = map_arrow(chunks.join(known, ["row", "chunk"]).select("row", "doc_id", "chunk", "part", "ahead", "s", "t"), trace, "row long, doc_id long, chunk long, pieces array<string>")
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "pieces"))), lambda x: x["pieces"]))
+    large = parts.groupBy("row", "doc_id").agg(joined.alias("pieces"), F.count(F.lit(1)).cast("int").alias("n_chunks")).drop("row")
+    return small.unionByName(large)
+
+
 # ---- the model's own encoding
 
 

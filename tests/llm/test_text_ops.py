@@ -298,3 +298,17 @@ def test_max_plus_chunks_give_the_best_path():
             out = pieces.segment(lex, text, chunk)
             assert "".join(out) == text
             assert abs(sum(lex.scores.get(p, lex.unknown) for p in out) - best[-1]) < 1e-9
+
+
+def test_max_plus_over_the_cluster(spark):
+    """Levels of products and back, for documents of one to many chunks."""
+    rng = np.random.default_rng(2)
+    scores = {c: float(-rng.integers(20, 60)) / 8 for c in "abcd"} | {"".join(rng.choice(list("abcd"), n)): float(-rng.integers(20, 160)) / 8 for n in (2, 3, 5) for _ in range(25)}
+    lex = pieces.Lexicon(scores)
+    rows = [(1, None), (2, ""), (3, "a"), (4, "abcde"), (5, "abcde")] + [(i, "".join(rng.choice(list("abcde"), int(n)))) for i, n in enumerate(rng.integers(0, 900, 20), 10)] * 2
+    got = pieces.segment_documents(spark.createDataFrame(rows, "doc_id long, text string"), lex, chunk_chars=40, fan=3).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows) and max(r.n_chunks for r in got) > 9
+    texts, total = dict(rows), lambda ps: sum(lex.scores.get(p, lex.unknown) for p in ps)
+    for r in got:
+        assert "".join(r.pieces) == (texts[r.doc_id] or "")
+        assert abs(total(r.pieces) - total(pieces.segment(lex, texts[r.doc_id] or "", 1 << 20))) < 1e-9
