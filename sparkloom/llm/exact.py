@@ -27,7 +27,7 @@ def _name(values: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(rid, t)`` with unique rids → ``(rid, name)``, where names are equal exactly if the texts are."""
+    """``(rid, t)``, one text per rid → ``(rid, name)``, one row per rid; names are equal exactly if the texts are."""
     cut = F.when(F.length("t") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     blocks = materialise(texts.select("rid", F.posexplode(cut).alias("pos", "block")), "blocks")
     level = blocks.join(_name(blocks, ["block"], "block-names"), "block").select("rid", "pos", "name")
@@ -37,7 +37,7 @@ def identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         pairs = materialise(level.groupBy("rid", F.expr("pos div 2").alias("pos")).agg(at(0).alias("a"), F.coalesce(at(1), F.lit(-1)).alias("b")), "pairs")
         level = pairs.join(_name(pairs, ["a", "b"], "pair-names"), ["a", "b"]).select("rid", "pos", "name")
         longest //= 2
-    return level.select("rid", "name")
+    return level.select("rid", "name").distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -53,12 +53,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = slim.groupBy("text_sha256").count().filter("count > 1").select("text_sha256")
     cand = slim.join(twice, "text_sha256", "left_semi").groupBy("doc_id", "th", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
     cand = materialise(cand.withColumn("rid", F.monotonically_increasing_id()), "candidates")
-    # The one shuffle of whole texts; only those of candidates are normalised and hashed again.
-    held = cand.select(F.col("doc_id").alias("cid"), F.col("th").alias("cth"), F.col("text_sha256").alias("csha"), "rid", "times")
-    found = base.join(held, F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("rid", "times", "csha", norm_text("text").alias("t"))
-    texts = found.filter(F.sha2("t", 256) == F.col("csha"))
-    once = texts.filter("times = 1").select("rid", "t").unionByName(texts.filter("times > 1").select("rid", "t").distinct())
-    named = materialise(identities(once, block_chars).join(cand, "rid").select("name", "doc_id", "text_sha256", "times"), "identities")
+    # The one shuffle of whole texts. The list of candidates grows with the table, so it is never broadcast; a
+    # partition's share of it is far smaller than its texts, so it is hashed and the texts need not be sorted.
+    held = cand.select(F.col("doc_id").alias("cid"), F.col("th").alias("cth"), F.col("text_sha256").alias("csha"), "rid")
+    found = base.join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("rid", "csha", norm_text("text").alias("t"))
+    texts = found.filter(F.sha2("t", 256) == F.col("csha")).select("rid", "t")
+    named = materialise(identities(texts, block_chars).join(cand, "rid").select("name", "doc_id", "text_sha256", "times"), "identities")
     groups = named.groupBy("name").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
     verdict = named.join(groups, "name").select(F.col("doc_id").alias("vid"), F.col("text_sha256").alias("vsha"), "keep_id", "group_size").distinct()
     out = slim.join(verdict, F.col("doc_id").eqNullSafe(F.col("vid")) & (F.col("text_sha256") == F.col("vsha")), "left")
