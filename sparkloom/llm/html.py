@@ -41,32 +41,36 @@ WHITE = re.compile(r"\s+")
 
 
 class Blocks(HTMLParser):
-    """Blocks of text with what is known of each: ``text, tags, links, container, bad``."""
+    """Blocks of text with what is known of each: ``text, ratio, container, bad, home, tag``.
+
+    ``home`` is the element around the block's own, ``tag`` the block's own.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, bool, bool, int]] = []  # tag, silent, boilerplate, container
-        self.blocks: list[tuple[str, float, int, bool]] = []
-        self.containers = 0
-        self.kinds: dict[int, str] = {0: ""}
+        self.path: list[tuple[str, bool, bool, int, int, int, str]] = []  # tag, silent, boilerplate, container, element, the one around it, its tag
+        self.blocks: list[tuple[str, float, int, bool, int, str]] = []
+        self.elements = 0
+        #: Of each container the outermost one around it; a body part next to another of the same element counts as that one.
+        self.outermost: dict[int, int] = {0: 0}
+        self._parts: dict[int, int] = {}
         self._text: list[str] = []
         self._tags = self._linked = 0
-        self._state = (False, False, 0)
+        self._state = (False, False, 0, 0, 0, "")
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self._text)).strip()
         if text:
-            _, bad, container = self._state
-            self.blocks.append((text, len(text) / (1 + self._tags + 2 * self._linked), container, bad))
+            _, bad, container, _, home, tag = self._state
+            self.blocks.append((text, len(text) / (1 + self._tags + 2 * self._linked), container, bad, home, tag))
         self._text, self._tags, self._linked = [], 0, 0
 
     def _open(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        silent, bad, container = self._state
+        silent, bad, container, element, home, name = self._state
         a = {k: v or "" for k, v in attrs}
         names = f"{a.get('class', '')} {a.get('id', '')}"
-        kind = ""
-        if tag in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody" or BODY.search(names):
-            kind = "main" if tag == "main" or a.get("role") == "main" else "article"
+        whole = tag in ("article", "main") or a.get("role") in ("main", "article")
+        kind = whole or a.get("itemprop") == "articleBody" or bool(BODY.search(names))
         # An element that holds the page (html, body, the article itself) is not judged by its names.
         if tag not in ("html", "body") and not kind:
             in_article = bool(container)
@@ -74,11 +78,14 @@ class Blocks(HTMLParser):
             bad |= bool(tag in ASIDE or header or a.get("role") in ROLES or MARKS.search(names) or a.get("aria-hidden") == "true" or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower())
         silent |= tag in SILENT
         if kind and not bad:
-            self.containers += 1
-            container = self.containers
-            self.kinds[container] = kind
+            new = len(self.outermost)
+            self.outermost[new] = self.outermost[container] or (new if whole else self._parts.setdefault(element, new))
+            container = new
         self.path.append((tag, *self._state))
-        self._state = (silent, bad, container)
+        if tag not in INLINE:
+            self.elements += 1
+            element, home, name = self.elements, element, tag
+        self._state = (silent, bad, container, element, home, name)
 
     def _close_to(self, k: int) -> None:
         self.flush()
@@ -165,6 +172,18 @@ def threshold(x: np.ndarray) -> float:
     return t
 
 
+def _title(lines: list[tuple], root: dict[int, int], own: list[int]) -> int:
+    """The first line of *own*, or the heading before it with unmarked lines alone between them, if *own* has none."""
+    if any(lines[i][5] == "h1" for i in own):
+        return own[0]
+    i = own[0] - 1
+    while i >= 0 and root.get(i) == 0:
+        if lines[i][5] == "h1":
+            return i
+        i -= 1
+    return own[0]
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main content, one a line; empty if there is none."""
     if not html:
@@ -181,14 +200,17 @@ def main_text(html: str | None) -> str:
     flat = smooth(ratio)
     content = flat >= threshold(flat)
     size = {i: len(lines[i][0]) for i in good}
+    # A container's lines are those of everything below it; what lies between two parts of a body is of the body.
+    root = {i: p.outermost[lines[i][2]] for i in good}
     marked: dict[int, int] = {}
     for i in good:
-        if c := lines[i][2]:
+        if c := root[i]:
             marked[c] = marked.get(c, 0) + size[i]
-    articles = {c: n for c, n in marked.items() if p.kinds[c] == "article"} or marked
-    if articles:
-        best = max(articles, key=lambda c: (articles[c], -c))
-        return "\n".join(lines[i][0] for i in good if lines[i][2] == best)
+    if marked:
+        best = max(marked, key=lambda c: (marked[c], -c))
+        own = [i for i in good if root[i] == best]
+        first = _title(lines, root, own)
+        return "\n".join(lines[i][0] for i in good if first <= i <= own[-1] and root[i] in (0, best))
     # The heaviest run of content lines; lines below the threshold between two runs join them where they are few.
     runs: list[list[int]] = []
     for i in good:

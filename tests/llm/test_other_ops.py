@@ -64,6 +64,24 @@ def test_pages():
     assert html.main_text("<script>x</script><!-- c -->") == ""
 
 
+def test_nested_and_split_articles():
+    """Everything below the outermost article is its text, and parts of one body are one article."""
+    text = [f"Paragraph {i} has enough words in it to be read as a part of the article." for i in range(8)]
+    p = [f"<p>{t}</p>" for t in text]
+    title, first, rest = "<h1>A title</h1>", "".join(p[:3]), "".join(p[3:])
+    want = "\n".join(["A title", *text])
+    for shell in (
+        f"<article>{title}{first}<div class='entry-content'>{rest}</div></article>",
+        f"<article>{title}<div class='post-body'>{first}</div><div class='post-body'>{rest}</div></article>",
+        f"<div>{title}<div class='post-body'>{first}</div><div class='ad'>Buy</div><div class='post-body'>{rest}</div></div>",
+        f"<div>{title}<div itemprop='articleBody'>{p[0]}</div>{p[1]}{p[2]}<section itemprop='articleBody'>{rest}</section></div>",
+        f"<main>{title}<article>{first}{rest}</article></main>",
+        f"<article>{title}<article>{first}</article>{rest}</article>",
+        f"<article>{title}{first}<section class='story-content'>{rest}</section></article>",
+    ):
+        assert html.main_text(PAGE.format(shell)) == want, shell
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE.format(f"<article>{BODY}</article>")), (2, None, None), (3, "u", ""), (1, "u", PAGE.format(f"<article>{BODY}</article>")), (None, "z", "<p>x</p>" + "<div>" * 3000), (5, "w", "<article>" + "<p>" + "long " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("c")})
