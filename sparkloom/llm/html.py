@@ -37,33 +37,35 @@ MARKS = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|head|top)(?=$|[\s_-])", re.IGNORECASE)
 BODY = re.compile(r"(?:^|[\s_-])(?:article-?(?:body|content|text)|post-?(?:body|content|text)|entry-?(?:content|text|body)|story-?(?:body|content)|main-?(?:content|text)|articlebody)(?=$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHITE = re.compile(r"\s+")
 
 
 class Blocks(HTMLParser):
-    """Blocks of text with what is known of each: ``text, ratio, container, bad, home, tag``.
+    """Blocks of text with what is known of each: ``text, ratio, container, bad, home, tag, linked``.
 
-    ``home`` is the element around the block's own, ``tag`` the block's own.
+    ``home`` is the element around the block's own, ``tag`` the block's own; ``linked`` tells that most of it is links.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.path: list[tuple[str, bool, bool, int, int, int, str]] = []  # tag, silent, boilerplate, container, element, the one around it, its tag
-        self.blocks: list[tuple[str, float, int, bool, int, str]] = []
+        self.blocks: list[tuple[str, float, int, bool, int, str, bool]] = []
         self.elements = 0
         #: Of each container the outermost one around it; a body part next to another of the same element counts as that one.
         self.outermost: dict[int, int] = {0: 0}
         self._parts: dict[int, int] = {}
         self._text: list[str] = []
-        self._tags = self._linked = 0
+        self._tags = self._linked = self._link_chars = 0
+        self._in_link = False
         self._state = (False, False, 0, 0, 0, "")
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self._text)).strip()
         if text:
             _, bad, container, _, home, tag = self._state
-            self.blocks.append((text, len(text) / (1 + self._tags + 2 * self._linked), container, bad, home, tag))
-        self._text, self._tags, self._linked = [], 0, 0
+            self.blocks.append((text, len(text) / (1 + self._tags + 2 * self._linked), container, bad, home, tag, 2 * self._link_chars > len(text)))
+        self._text, self._tags, self._linked, self._link_chars, self._in_link = [], 0, 0, 0, False
 
     def _open(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         silent, bad, container, element, home, name = self._state
@@ -102,7 +104,9 @@ class Blocks(HTMLParser):
         if self.path and self.path[-1][0] == "head" and tag in ("body", "p", "div", "article", "main"):
             self._close_to(len(self.path) - 1)
         self._tags += 1
-        self._linked += tag == "a"
+        if tag == "a":
+            self._linked += 1
+            self._in_link = any(k == "href" for k, _ in attrs)
         if tag in INLINE:
             if tag == "br":
                 self._text.append(" ")
@@ -131,6 +135,8 @@ class Blocks(HTMLParser):
             self.flush()
         elif not self._state[0]:
             self._tags += 1
+            if tag == "a":
+                self._in_link = False
         for k in range(len(self.path) - 1, -1, -1):
             if self.path[k][0] == tag:
                 if tag in INLINE:
@@ -148,6 +154,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._state[0]:
             self._text.append(data)
+            if self._in_link:
+                self._link_chars += len(data.strip())
 
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -184,6 +192,40 @@ def _title(lines: list[tuple], root: dict[int, int], own: list[int]) -> int:
     return own[0]
 
 
+def _runs(lines: list[tuple], content: list[int]) -> list[list[int]]:
+    """Content lines in runs; unmarked lines between two never part them.
+
+    Boilerplate between two parts them where it is longer than the kernel reaches and no element holds lines of both.
+    """
+    runs: list[list[int]] = []
+    homes: list[set[int]] = []
+    for i in content:
+        if runs:
+            at = runs[-1][-1]
+            k = next((k for k in range(len(runs) - 1, -1, -1) if lines[i][4] in homes[k]), len(runs) - 1)
+            if k < len(runs) - 1 or lines[i][4] in homes[k] or i - at <= 1 + int(3 * SIGMA) or not any(b[3] for b in lines[at:i]):
+                for r, h in zip(runs[k + 1 :], homes[k + 1 :], strict=True):
+                    runs[k] += r
+                    homes[k] |= h
+                del runs[k + 1 :], homes[k + 1 :]
+                runs[k].append(i)
+                homes[k].add(lines[i][4])
+                continue
+        runs.append([i])
+        homes.append({lines[i][4]})
+    return runs
+
+
+def _grown(lines: list[tuple], first: int, last: int) -> tuple[int, int]:
+    """The run with the unmarked lines at its ends, such as headings and short paragraphs; lines of links end it."""
+    free = lambda b: not b[3] and (not b[6] or b[5] in HEADINGS)
+    while first and free(lines[first - 1]):
+        first -= 1
+    while last + 1 < len(lines) and free(lines[last + 1]):
+        last += 1
+    return first, last
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main content, one a line; empty if there is none."""
     if not html:
@@ -196,9 +238,10 @@ def main_text(html: str | None) -> str:
     good = [i for i, b in enumerate(lines) if not b[3]]
     if not good:
         return ""
-    ratio = np.array([0.0 if b[3] else b[1] for b in lines])
+    # Logarithms, as the ratio grows with the line: one giant paragraph must not make the others look like menus.
+    ratio = np.array([0.0 if b[3] else np.log1p(b[1]) for b in lines])
     flat = smooth(ratio)
-    content = flat >= threshold(flat)
+    content = flat >= min(threshold(flat), flat[good].max())
     size = {i: len(lines[i][0]) for i in good}
     # A container's lines are those of everything below it; what lies between two parts of a body is of the body.
     root = {i: p.outermost[lines[i][2]] for i in good}
@@ -211,18 +254,9 @@ def main_text(html: str | None) -> str:
         own = [i for i in good if root[i] == best]
         first = _title(lines, root, own)
         return "\n".join(lines[i][0] for i in good if first <= i <= own[-1] and root[i] in (0, best))
-    # The heaviest run of content lines; lines below the threshold between two runs join them where they are few.
-    runs: list[list[int]] = []
-    for i in good:
-        if content[i]:
-            if runs and i - runs[-1][-1] <= 1 + int(3 * SIGMA):
-                runs[-1].append(i)
-            else:
-                runs.append([i])
-    if not runs:
-        return ""
-    run = max(runs, key=lambda r: sum(size[i] for i in r))
-    return "\n".join(lines[i][0] for i in good if run[0] <= i <= run[-1])
+    run = max(_runs(lines, [i for i in good if content[i]]), key=lambda r: sum(size[i] for i in r))
+    first, last = _grown(lines, run[0], run[-1])
+    return "\n".join(lines[i][0] for i in good if first <= i <= last)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

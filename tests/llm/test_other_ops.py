@@ -82,6 +82,28 @@ def test_nested_and_split_articles():
         assert html.main_text(PAGE.format(shell)) == want, shell
 
 
+def test_unmarked_pages():
+    """Without a marked article all content runs count, with what lies between and next to them."""
+    para = lambda n: "<p>" + ("some words of the article " * n)[:n] + ".</p>"
+    title = "<h1>A title</h1>"
+    items = "<ul>" + "".join(f"<li>{('an item of the list %d ' % i * 3)[:40]}." for i in range(12)) + "</ul>"
+    box = "<div class='related'><ul>" + "<li><a href='/r'>Another story</a>" * 12 + "</ul></div>"
+    for body, n in (
+        (title + para(300) * 20 + para(20_000) + para(300) * 19, 41),
+        (title + para(600) * 10 + items + para(600) * 9, 32),
+        (title + para(20) + para(600) * 5 + "<h2>Part</h2>" + para(400) * 5 + para(15), 14),
+        (title + para(400) * 8 + box + para(400) * 8 + para(20), 18),
+        ("<p>Equal words here.</p>" * 7, 7),
+    ):
+        got = html.main_text(PAGE.format(body)).split("\n")
+        want = html.main_text(f"<article>{body}</article>").split("\n")
+        assert len(want) == n and got == want, (n, len(got))
+        assert html.main_text(PAGE.format(f"<div>{body}</div>")).split("\n") == want
+    menu = "<div><a href='/'>Home</a> <a href='/b'>About</a></div>"
+    assert html.main_text(f"<body>{menu}{title}{para(500) * 5}{menu}</body>").split("\n")[0] == "A title"
+    assert len(html.main_text(f"<body>{menu}{title}{para(500) * 5}{menu}</body>").split("\n")) == 6
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE.format(f"<article>{BODY}</article>")), (2, None, None), (3, "u", ""), (1, "u", PAGE.format(f"<article>{BODY}</article>")), (None, "z", "<p>x</p>" + "<div>" * 3000), (5, "w", "<article>" + "<p>" + "long " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("c")})
