@@ -2,10 +2,12 @@
 
 The standard library's parser reads the page once; nothing but the current path of open elements and the blocks of
 text is kept. Every block is a line with a text-to-tag ratio: its characters by the tags met in it, links weighing
-more. The ratios are smoothed with a Gaussian over the neighbouring lines and clustered in two by a threshold
-(refined as the mean of the two clusters' means); the heaviest run of content lines is the article. What elements or
-their class and id names give away as menus, notices, adverts, forms or comments never counts. Where the page marks
-its article, the run grows to that element's lines, so short paragraphs inside it are not lost.
+more. The ratios' logarithms are smoothed with a Gaussian over the neighbouring lines and clustered in two by a
+threshold (refined as the mean of the two clusters' means). What elements or their class and id names give away as
+menus, notices, adverts, forms or comments never counts. Content lines in one marked article element, or in one run
+outside all such elements, belong together, and the heaviest is the article. It then grows: to all lines below the
+element (and the heading before it), so short paragraphs inside it are not lost, or over the unmarked lines between
+and next to the run's. An element without most of the content, such as a teaser, is not the article.
 """
 
 from __future__ import annotations
@@ -216,12 +218,12 @@ def _runs(lines: list[tuple], content: list[int]) -> list[list[int]]:
     return runs
 
 
-def _grown(lines: list[tuple], first: int, last: int) -> tuple[int, int]:
+def _grown(lines: list[tuple], root: dict[int, int], first: int, last: int) -> tuple[int, int]:
     """The run with the unmarked lines at its ends, such as headings and short paragraphs; lines of links end it."""
-    free = lambda b: not b[3] and (not b[6] or b[5] in HEADINGS)
-    while first and free(lines[first - 1]):
+    free = lambda i: root.get(i) == 0 and (not lines[i][6] or lines[i][5] in HEADINGS)
+    while first and free(first - 1):
         first -= 1
-    while last + 1 < len(lines) and free(lines[last + 1]):
+    while last + 1 < len(lines) and free(last + 1):
         last += 1
     return first, last
 
@@ -243,20 +245,23 @@ def main_text(html: str | None) -> str:
     flat = smooth(ratio)
     content = flat >= min(threshold(flat), flat[good].max())
     size = {i: len(lines[i][0]) for i in good}
+    chosen = [i for i in good if content[i]]
     # A container's lines are those of everything below it; what lies between two parts of a body is of the body.
     root = {i: p.outermost[lines[i][2]] for i in good}
+    heavy = lambda r: sum(size[i] for i in r)
+    free = [i for i in chosen if not root[i]]
+    run = max(_runs(lines, free), key=heavy) if free else []
     marked: dict[int, int] = {}
-    for i in good:
+    for i in chosen:
         if c := root[i]:
             marked[c] = marked.get(c, 0) + size[i]
-    if marked:
-        best = max(marked, key=lambda c: (marked[c], -c))
+    best = max(marked, key=lambda c: (marked[c], -c), default=0)
+    if best and marked[best] >= heavy(run):  # the heaviest content is marked and grows to its element
         own = [i for i in good if root[i] == best]
-        first = _title(lines, root, own)
-        return "\n".join(lines[i][0] for i in good if first <= i <= own[-1] and root[i] in (0, best))
-    run = max(_runs(lines, [i for i in good if content[i]]), key=lambda r: sum(size[i] for i in r))
-    first, last = _grown(lines, run[0], run[-1])
-    return "\n".join(lines[i][0] for i in good if first <= i <= last)
+        first, last, other = _title(lines, root, own), own[-1], (0, best)
+    else:
+        (first, last), other = _grown(lines, root, run[0], run[-1]), None
+    return "\n".join(lines[i][0] for i in good if first <= i <= last and (other is None or root[i] in other))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -104,6 +104,17 @@ def test_unmarked_pages():
     assert len(html.main_text(f"<body>{menu}{title}{para(500) * 5}{menu}</body>").split("\n")) == 6
 
 
+def test_content_lines_decide_between_marked_and_unmarked_text():
+    para = "<p>" + "some words of the article " * 20 + ".</p>"
+    teaser = "<article><h3>Another story</h3><p>A line on it.</p></article>"
+    title = "<h1>A title</h1>"
+    for page in (teaser * 2 + f"<div>{title}{para * 6}</div>", f"<div>{title}{para * 6}</div>" + teaser):
+        got = html.main_text(PAGE.format(page)).split("\n")
+        assert got[0] == "A title" and len(got) == 7 and not any("Another" in g for g in got)
+    got = html.main_text(PAGE.format(f"<article>{title}{para * 6}<p>Short.</p></article><div>An unmarked line.</div>" + teaser)).split("\n")
+    assert len(got) == 8 and got[0] == "A title" and got[-1] == "Short."
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE.format(f"<article>{BODY}</article>")), (2, None, None), (3, "u", ""), (1, "u", PAGE.format(f"<article>{BODY}</article>")), (None, "z", "<p>x</p>" + "<div>" * 3000), (5, "w", "<article>" + "<p>" + "long " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("c")})
