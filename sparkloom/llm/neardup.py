@@ -1,9 +1,11 @@
 """Near-duplicate documents by HyperMinHash, every link confirmed on the full sets.
 
 A document is the set of its shingles' hashes. They fall into 64 buckets by their leading bits; of each bucket's least
-value a register keeps the number of leading zeros and ten bits of mantissa. Sixteen bands of four registers name
-the buckets in which similar documents meet: at the threshold of 0.85, a pair fails to meet with a probability below
-1e-5. Documents with one and the same set are one node from the start.
+value a register keeps the number of leading zeros and ten bits of mantissa. Bands of as many registers as the
+threshold allows, four at most, name the buckets in which similar documents meet: a pair at the threshold fails to meet
+with a probability of at most 1e-5 (7.4e-6 with sixteen bands of four at 0.85, 2.9e-7 with twenty-one of three at 0.8;
+below a threshold of 0.17 single registers no longer reach that). Documents with one and the same set are one node from
+the start.
 
 Nobody compares all pairs of a bucket. In the first round every member meets only the smallest one, in the second
 one chosen by hash, unless the two are connected already; what buckets still hold apart is then compared pair by
@@ -31,7 +33,8 @@ SHINGLE = 3
 THRESHOLD = 85  # percent
 BUCKET_BITS, MANTISSA = 6, 10
 BUCKETS = 1 << BUCKET_BITS
-BAND = 4
+BAND = 4  # registers in a band, at most
+MISS = 1e-5  # how likely a pair at the threshold may meet in no band
 #: Members up to which a bucket is compared pair by pair; members, and set values, of a block of a larger one.
 SMALL = 16
 BLOCK, BLOCK_VALUES = 512, 1_000_000
@@ -99,14 +102,21 @@ def _signatures(base: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(base, sign, "did long, n long, fp binary, regs binary")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def band_size(threshold: int) -> int:
+    """The most registers in a band with which a pair at *threshold* percent is missed with at most ``MISS``."""
+    return next((k for k in range(BAND, 1, -1) if (1 - (threshold / 100) ** k) ** (BUCKETS // k) <= MISS), 1)
+
+
+def _bands(nodes: DataFrame, band: int) -> DataFrame:
     """``(key, rep)`` for every band that is not empty."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            packed = _regs(b.column(1)).view(np.uint64)  # four registers to a number
+            full = np.zeros((b.num_rows, BUCKETS // band, BAND), np.uint16)
+            full[:, :, :band] = _regs(b.column(1))[:, : BUCKETS // band * band].reshape(b.num_rows, -1, band)
+            packed = full.view(np.uint64)[:, :, 0]  # a band's registers in one number
             keys = mix(packed + np.arange(packed.shape[1], dtype=np.uint64)[None, :] * np.uint64(BASES[1]))
             i, j = np.nonzero(packed)
             yield pa.RecordBatch.from_arrays([pa.array(keys[i, j].view(np.int64)), pa.array(b.column(0).to_numpy(zero_copy_only=False)[i])], names=["key", "rep"])
@@ -239,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialise(_signatures(base, shingle), "signatures")
     live = signed.filter("n > 0 AND did IS NOT NULL")
     nodes = materialise(live.groupBy("fp").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
-    bands = _bands(nodes)
+    bands = _bands(nodes, band_size(threshold))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.min_by("rep", F.xxhash64("rep")).alias("drawn")).filter("n > 1")
     members = materialise(bands.join(shared, "key"), "members")
 

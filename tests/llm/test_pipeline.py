@@ -7,7 +7,7 @@ from oracle import duck
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import language, mixing, queries
+from sparkloom.llm import language, mixing, neardup, queries
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -55,6 +55,17 @@ def test_stages_equal_the_straightforward_versions(spark, docs, tmp_path):
     assert out.columns == COLUMNS and sorted(d for d, _ in plain(out)) == want
 
 
+def test_near_stage_finds_pairs_at_its_own_threshold(spark, docs):
+    """A pair of similarity just above 0.8 that meets in no band of four registers."""
+    stem = " ".join(f"c2531x{i}" for i in range(400))
+    pair = [(i, stem + " " + " ".join(f"{s}2531x{k}" for k in range(49)), "en", "x", 1) for i, s in ((1, "a"), (2, "b"))]
+    assert [r.doc_id for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(pair, docs.schema), SF).collect()] == [1]
+    for t in range(20, 100):
+        k = neardup.band_size(t)
+        assert (1 - (t / 100) ** k) ** (neardup.BUCKETS // k) <= 1e-5, t
+    assert neardup.band_size(85) == 4 and neardup.band_size(80) == 3
+
+
 def test_whole_pipeline(spark):
     import sentencepiece
 
