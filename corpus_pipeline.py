@@ -23,9 +23,11 @@ def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go."""
+    """Documents without a letter (null texts too) have no language and go, whether or not there are labels to learn from."""
     model = language.fit(docs)
     ship(spark)
+    if not model.languages:
+        return docs.filter(language.lettered(F.col("text")))
     return docs.filter(language.label(F.col("text"), model)["lang_pred"] != "und")
 
 

@@ -169,6 +169,17 @@ def label(text: Column, model: LanguageModel) -> Column:
     return F.pandas_udf(run, "lang_pred string, score double")(text)
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter, as ``label`` counts them; false for null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder()
+        for texts in batches:
+            yield pd.Series([len(encoder.trigrams(t)[0]) > 0 for t in texts], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(text)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score``; only the text is looked at.
 

@@ -38,6 +38,12 @@ def test_language_stage_drops_what_has_no_language(spark, docs):
     assert want >= {d for d, t in plain(docs) if t and any(c.isalpha() for c in t)}
 
 
+def test_language_stage_without_labels_drops_only_what_has_no_letter(spark, docs):
+    want = sorted(d for d, t in plain(docs) if t and any(c.isalpha() for c in t))
+    out = corpus_pipeline.language_stage(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert out.columns == COLUMNS and sorted(d for d, _ in plain(out)) == want and len(want) > 100
+
+
 def test_stages_equal_the_straightforward_versions(spark, docs, tmp_path):
     out = corpus_pipeline.exact_stage(spark, docs, SF)
     rows = plain(out)
