@@ -7,19 +7,30 @@ encoded to token ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exact, language, mixing, neardup, pieces
 from sparkloom.llm.common import ship
 from sparkloom.llm.queries import PIECES, tokenizer
-from sparkloom.workspace import fresh_path
+from sparkloom.workspace import fresh_path, materialise
+
 
+def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame, str], DataFrame], group: str) -> DataFrame:
+    """One row, with all its columns, of each group that *operator* finds: that of the smallest id, null ids last.
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of *docs* whose id *verdict* keeps, with all their columns."""
-    ids = verdict.filter("kept").select(F.col("doc_id").alias("kept_id__")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id__")), "left_semi")
+    The operator sees a key of the row's own in place of the id, so rows that repeat an id, or have none, are told
+    apart. The keys are written, as a second evaluation need not number the rows alike.
+    """
+    keyed = materialise(docs.withColumn("row__", F.monotonically_increasing_id()), "rows")
+    groups = operator(keyed, "row__").select(F.col("doc_id").alias("row__"), F.col(group).alias("group__"))
+    own = keyed.select("row__", F.col("doc_id").cast("long").alias("id__"))
+    first = F.min(F.struct(F.col("id__").isNull().alias("none"), "id__", "row__")).alias("first__")
+    chosen = groups.join(own, "row__").groupBy("group__").agg(first).select(F.col("first__.row__").alias("row__"))
+    return keyed.join(chosen, "row__", "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +43,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of equal texts stays."""
-    return _kept(docs, exact.exact_dedup(docs))
+    """One row of each group of equal texts stays, that of the smallest id."""
+    return _one_of_each(docs, exact.exact_dedup, "keep_id")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component of near duplicates stays (five words a shingle, similarity 0.8)."""
-    return _kept(docs, neardup.near_duplicates(docs, shingle=5, threshold=80))
+    """One row of each component of near duplicates stays, that of the smallest id (five words a shingle, similarity 0.8)."""
+    return _one_of_each(docs, partial(neardup.near_duplicates, shingle=5, threshold=80), "component_id")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

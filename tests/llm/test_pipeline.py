@@ -72,6 +72,20 @@ def test_near_stage_finds_pairs_at_its_own_threshold(spark, docs):
     assert neardup.band_size(85) == 4 and neardup.band_size(80) == 3
 
 
+def test_dedup_stages_keep_one_row_of_each_group_with_repeated_and_null_ids(spark, docs):
+    """Ids that repeat, over one text and over two, and null ids, alone and beside a real one."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    near = lambda t: t + " tail"
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], docs.schema).repartition(3)
+    rows = [(5, a), (5, a), (7, a), (None, b), (None, b), (None, c), (3, c), (8, d), (8, c)]
+    assert sorted(plain(corpus_pipeline.exact_stage(spark, table(rows), SF)), key=str) == sorted([(5, a), (None, b), (3, c), (8, d)], key=str)
+    rows += [(4, near(a)), (None, near(b)), (None, near(c)), (8, near(d))]
+    got = corpus_pipeline.near_stage(spark, table(rows), SF)
+    assert got.columns == COLUMNS
+    out = sorted(((i, t.removesuffix(" tail")) for i, t in plain(got)), key=str)
+    assert out == sorted([(4, a), (None, b), (3, c), (8, d)], key=str)
+
+
 def test_whole_pipeline(spark):
     import sentencepiece
 
