@@ -42,8 +42,8 @@ class WordEncoder:
     """Whole-text ids of a word-level BPE tokenizer, with each distinct word encoded once.
 
     The tokenizer drops white space before it looks at words, so the ids of a text are those of its words in turn.
-    Texts for which that could differ (not in normal form C, or holding a special token's string) go to the library
-    whole.
+    Texts for which that could differ (not in normal form C, or holding a special token's string in any case) go
+    to the library whole.
     """
 
     def __init__(self, path: str):
@@ -51,7 +51,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.specials = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kept = TwoGenerations(MOST_KEPT)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
@@ -86,10 +86,13 @@ class WordEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any(s in text for s in self.specials) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            # Lower-casing character by character knows no final sigma.
+            low = text.replace("Σ", "σ").lower() if text.isascii() or unicodedata.is_normalized("NFC", text) else None
+            # The library looks for special strings before it lower-cases: here no word may become one.
+            if low is None or any(s in low for s in self.specials):
                 out[i] = self.whole(text)
-            else:  # lower-casing character by character knows no final sigma
-                split[i] = text.replace("Σ", "σ").lower().replace("\n", " ").split(" ")
+            else:
+                split[i] = low.replace("\n", " ").split(" ")
         self.kept.tidy()
         get, lost = self.kept.__getitem__, {}
         for i, w in split.items():

@@ -243,6 +243,12 @@ def test_token_files(docs, plain, hard, empty):
     assert tokenfile.token_output(empty, path).count() == 0
 
 
+def test_special_strings_in_any_case_get_the_librarys_ids():
+    encoder = tokenfile.WordEncoder(queries.tokenizer(queries.WORD_BPE))
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> b", "x<|STARTOFTEXT|>y", "<|endoftext|> Σ", "plain words"]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+
+
 def test_token_file_reads_only_what_it_needs_and_finds_damage(tmp_path):
     uri = f"file://{tmp_path}/x.tok"
     w = tokenfile.TokenFileWriter(uri, 2, frame_tokens=100)
