@@ -24,8 +24,10 @@ OPS = {
 class ClusteredIndex:
     """A clustered copy of one table on one column."""
 
-    def __init__(self, spark: SparkSession, table: str, column: str, path: str, schema, key_type):
+    def __init__(self, spark: SparkSession, table: str, column: str, path: str, schema, key_type, more: tuple[str, ...] = ()):
         self.spark, self.table, self.column, self.path, self._schema, self.key_type = spark, table, column, path, schema, key_type
+        #: Folders of rows inserted later, each sorted in itself.
+        self.more = more
 
     @property
     def name(self) -> str:
@@ -37,14 +39,24 @@ class ClusteredIndex:
         if column not in df.columns:
             raise KeyError(f"{table} has no column {column!r}")
         path = path or fresh_path(df.sparkSession, f"{table}_{column}_index")
+        cls._write(df, column, partitions, block_bytes, path)
+        return cls(df.sparkSession, table, column, path, df.schema, df.schema[column].dataType)
+
+    @staticmethod
+    def _write(df: DataFrame, column: str, partitions: int | None, block_bytes: int, path: str) -> None:
         dealt = df.repartitionByRange(partitions, column) if partitions else df.repartitionByRange(column)
         (dealt.sortWithinPartitions(F.col(column).asc_nulls_first())
             .write.option("parquet.block.size", block_bytes).option("parquet.page.row.count.limit", 2000)
             .parquet(path))
-        return cls(df.sparkSession, table, column, path, df.schema, df.schema[column].dataType)
+
+    def insert(self, rows: DataFrame, partitions: int | None = None, block_bytes: int = 1 << 20) -> ClusteredIndex:
+        """A new version with *rows* as well; only they are sorted and written. Keys may repeat or be null."""
+        path = fresh_path(self.spark, f"{self.name}_more")
+        self._write(rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self._schema]), self.column, partitions, block_bytes, path)
+        return ClusteredIndex(self.spark, self.table, self.column, self.path, self._schema, self.key_type, (*self.more, path))
 
     def scan(self) -> DataFrame:
-        return self.spark.read.schema(self._schema).parquet(self.path)
+        return self.spark.read.schema(self._schema).parquet(self.path, *self.more)
 
     def lookup(self, op: str, value: object, *columns: str) -> DataFrame:
         """Rows with ``column op value``; the literal is cast to the key's type so that the filter reaches the scan."""

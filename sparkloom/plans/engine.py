@@ -47,11 +47,18 @@ class Engine:
         return (self.sql(query) if isinstance(query, str) else query).toLocalIterator()
 
     def create_index(self, table: str, column: str, partitions: int | None = None) -> bool:
-        """False if the table is missing or the index exists already."""
+        """False if the table is missing or the index exists already.
+
+        The first index of a table becomes what SQL reads under the table's name: the rows are the same, and a filter
+        on the column skips row groups without being asked for.
+        """
         name = f"{table}_{column}_index".lower()
         if not self.catalog.exists(table) or name in self._indexes:
             return False
+        first = not any(x.table.lower() == table.lower() for x in self._indexes.values())
         self._indexes[name] = ClusteredIndex.create(self.catalog.table(table), table, column, partitions)
+        if first:
+            self.catalog.register(table, self._indexes[name].scan())
         return True
 
     def index_exists(self, table: str, column: str) -> bool:
@@ -70,10 +77,19 @@ class Engine:
         old = self.index(table, column)
         if old.lookup("=", value).isEmpty():
             return False
-        new = old.delete(value)
+        self._renew(table, old.delete(value))
+        return True
+
+    def insert(self, table: str, column: str, rows: DataFrame) -> bool:
+        """Insert into an indexed table: the table and its index become a new version; other indexes are dropped."""
+        if not self.index_exists(table, column):
+            return False
+        self._renew(table, self.index(table, column).insert(rows))
+        return True
+
+    def _renew(self, table: str, new: ClusteredIndex) -> None:
         self._indexes = {k: v for k, v in self._indexes.items() if v.table.lower() != table.lower()} | {new.name.lower(): new}
         self.catalog.register(table, new.scan())
-        return True
 
     def close(self) -> None:
         for name in self.catalog.names():

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkloom import operators as ops
 from sparkloom.functions import exact_sum, money, n_rows
 from sparkloom.operators.index import ClusteredIndex
+from sparkloom.plans.engine import Engine
+from sparkloom.sources.catalog import Catalog
 from sparkloom.sources.csv import read_typed_csv, write_typed_csv
 from sparkloom.workspace import fresh_path
 
@@ -58,6 +60,19 @@ def csv_roundtrip(spark, d):
     return read_typed_csv(spark, path)
 
 
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN NULL WHEN 1 THEN '' ELSE n_name END AS n_name, NULLIF(n_regionkey, 2) AS n_regionkey FROM nation")
+def csv_null_strings(spark, d):
+    path = fresh_path(spark, "nation-csv")
+    name = F.when(F.col("n_regionkey") == 0, None).when(F.col("n_regionkey") == 1, "").otherwise(F.col("n_name"))
+    write_typed_csv(table(spark, d, "nation").select("n_nationkey", name.alias("n_name"), F.nullif("n_regionkey", F.lit(2)).alias("n_regionkey")), path)
+    return read_typed_csv(spark, path, null_strings=True)
+
+
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name")
+def catalog_tables(spark, d):
+    return spark.createDataFrame([(n,) for n in Catalog.names_in(spark, d)], "name string")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey, o_totalprice LIMIT 100")
 def page_by_key(spark, d):
     return ops.page_by_key(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", after=1000, rows=100)
@@ -96,6 +111,7 @@ sql_query("filter_arithmetic", "lineitem", "SELECT l_orderkey, l_quantity FROM {
 sql_query("filter_const_expr", "lineitem", "SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity > 8 * 1.5 + 20")
 sql_query("filter_true", "region", "SELECT * FROM {region} WHERE true")
 sql_query("filter_compare_columns", "customer", "SELECT c_custkey FROM {customer} WHERE 100 < c_acctbal AND c_custkey > c_acctbal")
+sql_query("filter_is_true", "customer", "SELECT c_custkey, (c_acctbal > 0) IS TRUE AS t, (NULLIF(c_nationkey, 3) > 5) IS NOT FALSE AS f FROM {customer} WHERE (NULLIF(c_nationkey, 3) > 5) IS NOT TRUE")
 sql_query("filter_in_between_like_null", "part", "SELECT p_partkey, p_brand FROM {part} WHERE p_size IN (1, 5, 9, 14) AND p_retailprice BETWEEN 900 AND 1500 AND p_type LIKE '%S%' AND p_name IS NOT NULL AND p_size <> 9")
 
 
@@ -135,10 +151,9 @@ def join_right(spark, d):
     return ops.join(some, table(spark, d, "orders"), "l_orderkey = o_orderkey", "right").select("l_linenumber", "o_orderkey")
 
 
-@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey > 50) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 80) s ON c_custkey = s_suppkey")
+@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_acctbal < 5000) c FULL JOIN supplier s ON c_custkey = s_suppkey")
 def join_full(spark, d):
-    c, s = table(spark, d, "customer").filter("c_custkey > 50"), table(spark, d, "supplier").filter("s_suppkey < 80")
-    return ops.join(c, s, "c_custkey = s_suppkey", "full").select("c_custkey", "s_suppkey")
+    return ops.join(table(spark, d, "customer").filter("c_acctbal < 5000"), table(spark, d, "supplier"), "c_custkey = s_suppkey", "full").select("c_custkey", "s_suppkey")
 
 
 sql_query("join_multi_key", "lineitem orders customer", "SELECT l_orderkey, l_linenumber, c_name FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey AND l_linenumber = length(o_orderstatus) AND l_returnflag <> o_orderstatus JOIN {customer} ON c_custkey = o_custkey")
@@ -233,6 +248,11 @@ def select_distinct(spark, d):
 sql_query("grouping_sets", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
 sql_query("agg_filter_clause", "orders", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n FROM {orders} GROUP BY o_orderpriority")
 
+sql_query("agg_cube", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+sql_query("agg_rollup", "orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderpriority) AS g FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderpriority) AS TINYINT) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+sql_query("agg_ordered", "nation", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
+sql_query("agg_statistics", "lineitem", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS s, round(var_pop(l_quantity), 6) AS v, median(l_quantity) AS m FROM {lineitem} GROUP BY l_returnflag")
+
 # ---- sorts and limits
 
 
@@ -266,6 +286,14 @@ sql_query("union_all", "nation region", "SELECT n_name AS name FROM {nation} UNI
 sql_query("union_distinct", "customer supplier", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey AS k FROM {supplier}")
 sql_query("intersect_rows", "customer supplier", "SELECT c_custkey AS k FROM {customer} INTERSECT SELECT s_suppkey AS k FROM {supplier}")
 sql_query("except_rows", "customer supplier", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT s_suppkey AS k FROM {supplier}")
+sql_query("intersect_all_rows", "customer supplier", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey AS k FROM {supplier}")
+sql_query("except_all_rows", "customer supplier", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey AS k FROM {supplier}")
+sql_query("subquery_correlated", "part lineitem", "SELECT l_orderkey, l_linenumber FROM {lineitem} JOIN {part} p ON l_partkey = p_partkey WHERE l_quantity < (SELECT avg(l.l_quantity) / 5 FROM {lineitem} l WHERE l.l_partkey = p.p_partkey)")
+sql_query("subquery_exists", "orders lineitem", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+sql_query("subquery_not_exists", "customer orders", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
+sql_query("subquery_not_in_null", "nation", "SELECT n_name FROM {nation} WHERE n_nationkey NOT IN (SELECT NULLIF(n_regionkey, 2) FROM {nation})")
+sql_query("window_frame", "orders", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM {orders}", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM orders")
+sql_query("window_lag_lead", "orders", "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, lead(o_orderkey, 1, -1) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM {orders}")
 sql_query("subquery_scalar", "part", "SELECT p_partkey FROM {part} WHERE p_retailprice > (SELECT avg(p_size) * 30 FROM {part})")
 sql_query("subquery_in", "orders customer", "SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal < 0)")
 sql_query("window_rank", "orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, o_totalprice) AS rn FROM {orders}", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, o_totalprice) AS INTEGER) AS rn FROM orders")
@@ -293,6 +321,36 @@ def index_delete(spark, d):
     return _orders_index(spark, d).delete(777).scan()
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 120")
+def index_between(spark, d):
+    return _orders_index(spark, d).between(100, 120).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 14900")
+def index_insert(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    some = ClusteredIndex.create(rows.filter("o_orderstatus = 'F'"), "orders", "o_orderkey")
+    return some.insert(rows.filter("o_orderstatus <> 'F'")).lookup(">", 14900)
+
+
+@query("SELECT TRUE AS made, FALSE AS again, TRUE AS there, FALSE AS elsewhere, FALSE AS no_table")
+def index_exists(spark, d):
+    e = Engine(spark)
+    e.catalog.register("sparkloom_orders", table(spark, d, "orders"))
+    name = ("sparkloom_orders", "o_orderkey")
+    flags = (e.create_index(*name), e.create_index(*name), e.index_exists(*name), e.index_exists("sparkloom_orders", "o_custkey"), e.create_index("none", "x"))
+    e.close()
+    return spark.createDataFrame([flags], "made boolean, again boolean, there boolean, elsewhere boolean, no_table boolean")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 14900")
+def index_by_sql(spark, d):
+    e = Engine(spark)
+    e.catalog.register("sparkloom_orders", table(spark, d, "orders"))
+    e.create_index("sparkloom_orders", "o_orderkey")
+    return e.sql("SELECT o_orderkey, o_custkey FROM sparkloom_orders WHERE o_orderkey >= 14900")
+
+
 @query("SELECT DISTINCT o_custkey FROM orders")
 def index_keys(spark, d):
     return ClusteredIndex.create(table(spark, d, "orders").select("o_custkey"), "orders", "o_custkey").keys()

@@ -26,19 +26,30 @@ class Catalog:
     def of(cls, spark: SparkSession, directory: str) -> Catalog:
         """Every supported file or folder of *directory* becomes a table named by its stem."""
         out = cls(spark)
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(directory)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for status in fs.listStatus(at):
-            name = status.getPath().getName()
-            suffix = next((s for s in SUFFIXES if name.lower().endswith(s)), None)
-            if suffix:
-                out.register(name[: -len(suffix)], out.read(f"{directory.rstrip('/')}/{name}", suffix))
+        for table, file, suffix in cls._files(spark, directory):
+            out.register(table, out.read(f"{directory.rstrip('/')}/{file}", suffix))
         return out
 
+    @classmethod
+    def names_in(cls, spark: SparkSession, directory: str) -> list[str]:
+        """The tables that *directory* would give, without reading any."""
+        return sorted({table for table, _, _ in cls._files(spark, directory)})
+
+    @staticmethod
+    def _files(spark: SparkSession, directory: str) -> list[tuple[str, str, str]]:
+        """``(table, file, suffix)`` of every supported file or folder."""
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = [status.getPath().getName() for status in fs.listStatus(at)]
+        suffixes = [next((s for s in SUFFIXES if f.lower().endswith(s)), None) for f in files]
+        return [(f[: -len(s)], f, s) for f, s in zip(files, suffixes, strict=True) if s]
+
     @classmethod
     def from_model(cls, spark: SparkSession, model: str, base: str = "") -> Catalog:
-        """A JSON model: ``{"schemas": [{"operand": {"directory": ...}, "tables": [{"name", "operand": {"file"}}]}]}``."""
+        """A JSON model: ``{"schemas": [{"operand": {"directory": ...}, "tables": [{"name", "operand": {"file"}}]}]}``.
+
+        An operand has a ``file``, relative to *base*, or a ``url`` of any scheme that Spark's file systems read.
+        """
         spec = json.loads("\n".join(r[0] for r in spark.read.text(model).collect()))
         out = cls(spark)
         for schema in spec.get("schemas", []):
@@ -46,7 +57,8 @@ class Catalog:
             if where:
                 out._tables |= cls.of(spark, base + where)._tables
             for t in schema.get("tables", []):
-                out.register(t["name"], out.read(base + t["operand"]["file"]))
+                at = t["operand"]
+                out.register(t["name"], out.read(at["url"] if "url" in at else base + at["file"]))
         return out
 
     def read(self, path: str, suffix: str | None = None) -> DataFrame:

@@ -1,37 +1,66 @@
 """Folders that the driver and every executor can reach.
 
-The cluster names one in ``spark.checkpoint.dir``; a private folder is made only where that is unset (tests,
-``local[*]``). Nothing here is ever written below a machine's own temporary folder on a cluster.
+The cluster names one in ``spark.checkpoint.dir``. Only a local master, whose executors are this machine, gets a
+private folder where that is unset (tests); on a cluster it is an error, as a machine's own folder would be lost with it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, as a URI or path that Spark's writers accept."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet; removed when the session's JVM ends."""
+    """A path in the shared folder that nothing uses yet; removed with the scope around it or when the JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; what must stay has its path from before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write *df* as Parquet in the shared folder and read it back.
 

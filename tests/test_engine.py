@@ -1,10 +1,15 @@
 import gzip
 import json
+import os
+import subprocess
+import sys
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from sparkloom import Catalog, Engine
+from sparkloom import Catalog, Engine, workspace
 from sparkloom import operators as ops
 from sparkloom.sources.csv import parse_header, read_typed_csv, write_typed_csv
 
@@ -45,6 +50,19 @@ def test_csv_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(1, "", True), (None, 'q"u,o', None)], "i int, s string, b boolean")
     write_typed_csv(df, str(tmp_path / "t"))
     assert sorted(map(str, read_typed_csv(spark, str(tmp_path / "t")).collect())) == sorted(map(str, df.collect()))
+    for name, rows, schema in (("two", [(1, None), (2, ""), (3, "x"), (None, None)], "i int, s string"), ("one", [(None,), ("",), ("x",)], "s string"), ("num", [(None,), (3,)], "k long")):
+        df = spark.createDataFrame(rows, schema)
+        write_typed_csv(df, str(tmp_path / name))
+        assert sorted(map(str, read_typed_csv(spark, str(tmp_path / name), null_strings=True).collect())) == sorted(map(str, df.collect()))
+
+
+def test_csv_strict(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a:int,b:double,d:date,s\n1,2.5,2024-01-02,x\nx1,,no,\n")
+    assert read_typed_csv(spark, str(tmp_path / "n.csv")).select("b", "s").collect() == [(2.5, "x"), (None, "")]
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_typed_csv(spark, str(tmp_path / "n.csv")).collect()
+    loose = read_typed_csv(spark, str(tmp_path / "n.csv"), strict=False).collect()
+    assert [r.a for r in loose] == [1, None] and [str(r.d) for r in loose] == ["2024-01-02", "None"]
 
 
 def test_empty_inputs(spark, tmp_path):
@@ -61,6 +79,26 @@ def test_model_file(spark, folder):
     (folder / "model.json").write_text(json.dumps({"schemas": [{"operand": {"directory": str(folder)}, "tables": [{"name": "animals", "operand": {"file": str(folder / "pets.csv.gz")}}]}]}))
     c = Catalog.from_model(spark, str(folder / "model.json"))
     assert {"people", "pets", "animals"} <= set(c.names())
+    (folder / "urls.json").write_text(json.dumps({"schemas": [{"tables": [{"name": "far", "operand": {"url": (folder / "people.csv").as_uri()}}]}]}))
+    assert Catalog.from_model(spark, str(folder / "urls.json"), "/nowhere/").count("far") == 4
+
+
+def test_workspace(spark, monkeypatch):
+    with workspace.scope(spark):
+        t = workspace.materialise(spark.range(5), "t")
+        path = t.inputFiles()[0].rsplit("/", 1)[0]
+        assert t.count() == 5 and os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    conf = type("C", (), {"get": lambda *_: None})()
+    far = type("S", (), {"sparkContext": type("X", (), {"master": "spark://far:7077", "getConf": lambda _: conf, "getCheckpointDir": lambda _: None})(), "conf": conf})()
+    with pytest.raises(RuntimeError):
+        workspace.shared_dir(far)
+
+
+def test_entry_without_the_corpus_part():
+    """A subpackage that cannot be imported takes nothing else with it."""
+    code = "import sys; sys.modules['sparkloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and 'pipeline' not in q and set(e.oracle_sql()) == set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def test_null_logic_and_nary(engine):
@@ -116,6 +154,9 @@ def test_index(spark):
         assert hit.count() == e.catalog.table("orders").filter(f"o_orderkey {op} {v}").count()
         assert scan_rows(ix.lookup(op, v)) < total / 4
     assert ix.between(10, 20).count() == 11
+    assert scan_rows(e.sql("SELECT o_custkey FROM orders WHERE o_orderkey < 900")) < total / 4  # by SQL, without asking
+    again = ix.insert(e.catalog.table("orders").filter("o_orderkey = 5").withColumn("o_orderkey", F.lit(149_999_999)))
+    assert again.scan().count() == total + 1 and again.lookup(">", 149_000_000).count() == 1 and ix.lookup(">", 149_000_000).isEmpty()
     assert e.delete("orders", "o_orderkey", 777) and not e.delete("orders", "o_orderkey", 777)
     assert e.catalog.count("orders") == total - 1 and e.index("orders", "o_orderkey").lookup("=", 777).isEmpty()
     assert [r[0] for r in ix.keys().limit(3).collect()] == sorted(r[0] for r in ix.keys().limit(3).collect())
