@@ -46,6 +46,40 @@ def test_neighbours_of_odd_and_equal_vectors(spark):
     assert ann.nearest(df.filter("vec_id = 0")).count() == 0
 
 
+def test_neighbours_in_many_blocks(spark):
+    """Recall over many cells and blocks, whatever the order of the rows; repeated rows and ids, one hot vector."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    hot = df.filter("vec_id = 3").select(F.explode(F.expr("sequence(5000L, 5600L)")).alias("vec_id"), "embedding", "label")
+    more = df.unionByName(hot).unionByName(df.filter("vec_id IN (7, 40)")).unionByName(df.filter("vec_id = 7"))
+    want = brute.neighbours([(r.vec_id, r.embedding) for r in more.collect()])
+    run = lambda x: ann.nearest(x, block=256, query_block=32).orderBy("query_id", "rank").collect()
+    rows = run(more)
+    assert rows == run(more.repartition(7, "label").sortWithinPartitions(F.desc("vec_id")))
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert len(got[r.query_id]) == r["rank"]
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    near = {q: [i for i, _ in want[q]] for q in want}
+    assert np.mean([len({i for i, _ in got[q]} & set(near[q])) / len(set(near[q])) for q in want]) >= 0.9
+    copies = [q for q in want if q >= 5000]
+    assert copies and all([i for i, _ in got[q]] == near[q] for q in copies)
+
+
+def test_the_index_spares_most_vectors():
+    """Rings count every vector in the windows once; far fewer than half of all vectors are verified."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    v = np.array(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+    ids = t.column("vec_id").to_numpy()
+    x = ann.BlockIndex.build(ids, np.ones(len(ids), int), v, np.linalg.norm(v, axis=1).max())
+    x.search(ids[:100], v[:100], np.full(100, -np.inf), 20)
+    assert x.verified < 0.4 * 100 * len(ids)
+    seen = ann.Bounds(np.array([0, 1]), np.array([[-4.0] * 96, [3.0] * 96]), np.array([[4.0] * 96, [4.0] * 96])).touched(v[:50], np.full(50, 0.4))
+    assert seen[:, 0].all() and not seen[:, 1].any()  # a far cell is not visited
+
+
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><header class="top"><a href="/">Home</a></header>
 <nav><ul><li><a href="/a">Menu one</a><li><a href="/b">Menu two</a></ul></nav>{0}
 <aside class="sidebar"><p>Related stories that are long enough to look like content, really long enough.</p></aside>
