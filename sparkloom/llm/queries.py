@@ -62,7 +62,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer(PIECES))
-    return encoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "n_chunks", "round_trip")
+    return encoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "n_chunks", "round_trip", "n_best", F.crc32("best_ids").alias("best_crc32"), "best_score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -318,3 +318,74 @@ def test_max_plus_over_the_cluster(spark):
     for r in got:
         assert "".join(r.pieces) == (texts[r.doc_id] or "")
         assert abs(total(r.pieces) - total(pieces.segment(lex, texts[r.doc_id] or "", 1 << 20))) < 1e-9
+
+
+def _viterbi(lex, t):
+    """Best score of *t*, one position after the other."""
+    best = [0.0] + [-np.inf] * len(t)
+    for i in range(len(t)):
+        for n in range(1, min(lex.longest, len(t) - i) + 1):
+            s = lex.scores.get(t[i : i + n], lex.unknown if n == 1 else None)
+            if s is not None:
+                best[i + n] = max(best[i + n], best[i] + s)
+    return best[-1]
+
+
+def test_best_paths_of_the_public_pieces(spark, docs, plain, hard, empty):
+    """The scan's scores against one pass over the whole text, whatever the chunks; ids decode to the text."""
+    encoder = pieces.piece_encoder(queries.tokenizer(queries.PIECES))
+    lex = encoder.lexicon
+    odd = [(30, "x" * 7000), (31, "日本語" * 900), (32, "▁" * 3000), (33, "a" * 500 + "☃" * 900 + " tail"), (34, "internationalisation" * 300), (34, "internationalisation" * 300), (None, "two words"), (None, None)]
+    more = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"row": F.lit(1), "chunk": F.lit("c"), "merged": F.lit(2), "ids": F.lit(3)})
+    some = [(d, t) for d, t in plain if t and len(t) < 3000][:300]
+    few = docs.filter(F.col("doc_id").isin([d for d, _ in some]))
+    for df, rows, chunk in ((more, odd, 100), (more, odd, 1 << 16), (few, some, 400), (hard.filter("doc_id NOT IN (11, 12, 13)"), HARD[:10] + HARD[13:], 37)):
+        got = pieces.encode_documents(df, queries.tokenizer(queries.PIECES), chunk_chars=chunk, fan=3).collect()
+        texts = {r: set() for r, _ in rows}
+        for r, t in rows:
+            texts[r].add(t)
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(r) for r, _ in rows)
+        for r in got:
+            t = next((t for t in texts[r.doc_id] if len(texts[r.doc_id]) == 1 or (t or "") == encoder.decode(r.best_ids)), None) or ""
+            marked = "▁" + t.replace(" ", "▁") if t else ""
+            assert r.best_score == _viterbi(lex, marked), (r.doc_id, chunk)
+            assert encoder.decode(r.best_ids) == t.replace("▁", " ") and encoder.decode(r["ids"]) == t.replace("▁", " ")
+            assert r.n_best == len(r.best_ids) // 4 and r.n_chunks == (max(1, -(-len(marked) // chunk)) if len(t) > chunk else 1)
+            assert np.frombuffer(r["ids"], "<u4").tolist() == encoder.sp.encode(t), r.doc_id
+
+
+def test_best_paths_equal_the_librarys_unigram_scores(plain):
+    """The same pieces loaded as a unigram model: short texts, for which its single precision is exact.
+
+    The pieces of several spaces have a score of -1e9, beside which single precision loses the others; no text here
+    can use them, so the library gets a milder score for them.
+    """
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    path = queries.tokenizer(queries.PIECES)
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for p in model.pieces:
+        p.score = max(p.score, -40_000.0)
+    unigram = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    encoder = pieces.piece_encoder(path)
+    covered = {c for p in encoder.piece_ids for c in p}
+    texts = [" ".join(t.split()[:12]) for _, t in plain if t][:400]
+    texts = [t for t in texts if set(t.replace(" ", "▁")) <= covered]
+    best = []
+    encoder.encode_texts(texts, best)
+    assert len(texts) > 200
+    for t, (ids, score) in zip(texts, best, strict=True):
+        library = sum(encoder.lexicon.scores[p] for p in unigram.encode(t, out_type=str))
+        assert score == library and encoder.decode(ids) == t
+
+
+def test_texts_without_spaces_are_cut():
+    encoder = pieces.piece_encoder(queries.tokenizer(queries.PIECES))
+    for t in ("日本語" * 5000, "".join(chr(0x4E00 + i % 2000) for i in range(9000)), ("abcdefghijklmnop" * 9 + "☃") * 60):
+        parts = encoder.chunks(t, 1000)
+        assert "".join(parts) == t and len(parts) > 4
+        assert b"".join([encoder.encode(parts[0]), *map(encoder.encode_inner, parts[1:])]) == np.array(encoder.sp.encode(t), "<u4").tobytes()
