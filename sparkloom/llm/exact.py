@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import norm_text, text_of
+from sparkloom.llm.common import SALTS, norm_text, text_of, with_totals
 from sparkloom.workspace import materialise
 
 BLOCK_CHARS = 16_384
@@ -26,16 +26,24 @@ def _name(values: DataFrame, keys: list[str], label: str) -> DataFrame:
     return materialise(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
 
+def _named(level: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``(rid, pos, *keys)`` → ``(rid, pos, name)``. A value that many rows have is dealt by a salt, so that no task gets them all."""
+    dealt = level.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    held = dealt.select(*keys, "salt").distinct()
+    names = held.join(_name(held, keys, label), keys)
+    return dealt.join(names, [*keys, "salt"]).select("rid", "pos", "name")
+
+
 def identities(texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(rid, t)``, one text per rid → ``(rid, name)``, one row per rid; names are equal exactly if the texts are."""
     cut = F.when(F.length("t") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     blocks = materialise(texts.select("rid", F.posexplode(cut).alias("pos", "block")), "blocks")
-    level = blocks.join(_name(blocks, ["block"], "block-names"), "block").select("rid", "pos", "name")
+    level = _named(blocks, ["block"], "block-names")
     longest = blocks.agg(F.max("pos")).first()[0] or 0
     while longest > 0:
         at = lambda odd: F.max(F.when(F.col("pos") % 2 == odd, F.col("name")))
         pairs = materialise(level.groupBy("rid", F.expr("pos div 2").alias("pos")).agg(at(0).alias("a"), F.coalesce(at(1), F.lit(-1)).alias("b")), "pairs")
-        level = pairs.join(_name(pairs, ["a", "b"], "pair-names"), ["a", "b"]).select("rid", "pos", "name")
+        level = _named(pairs, ["a", "b"], "pair-names")
         longest //= 2
     return level.select("rid", "name").distinct()
 
@@ -50,8 +58,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = text_of(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     slim = materialise(base.select("doc_id", "th", F.sha2(norm_text("text"), 256).alias("text_sha256")), "digests")
-    twice = slim.groupBy("text_sha256").count().filter("count > 1").select("text_sha256")
-    cand = slim.join(twice, "text_sha256", "left_semi").groupBy("doc_id", "th", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    each = slim.groupBy("doc_id", "th", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
+    cand = with_totals(each, ["text_sha256"], "doc_id", kept="rows > 1", sums={"rows": "times"}).select("doc_id", "th", "text_sha256", "times")
     cand = materialise(cand.withColumn("rid", F.monotonically_increasing_id()), "candidates")
     # The one shuffle of whole texts. The list of candidates grows with the table, so it is never broadcast; a
     # partition's share of it is far smaller than its texts, so it is hashed and the texts need not be sorted.
@@ -59,8 +67,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = base.join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("rid", "csha", norm_text("text").alias("t"))
     texts = found.filter(F.sha2("t", 256) == F.col("csha")).select("rid", "t")
     named = materialise(identities(texts, block_chars).join(cand, "rid").select("name", "doc_id", "text_sha256", "times"), "identities")
-    groups = named.groupBy("name").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    verdict = named.join(groups, "name").select(F.col("doc_id").alias("vid"), F.col("text_sha256").alias("vsha"), "keep_id", "group_size").distinct()
+    named = with_totals(named, ["name"], "doc_id", {"keep_id": "doc_id"}, "true", {"group_size": "times"})
+    verdict = named.select(F.col("doc_id").alias("vid"), F.col("text_sha256").alias("vsha"), "keep_id", "group_size").distinct()
     out = slim.join(verdict, F.col("doc_id").eqNullSafe(F.col("vid")) & (F.col("text_sha256") == F.col("vsha")), "left")
     keep = F.when(F.col("vsha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
