@@ -3,11 +3,13 @@
 A window of ``length`` words that repeats has halves that repeat, so windows of half the length are looked at first,
 and only where one repeats is it extended to twice its length. At the first level it is enough to look at anchors:
 of the half windows in a full window, those with the least hash. Equal windows have equal anchors, so no repeat is
-lost, and about one position in six is sent. What survives is hashed in 128 bits at the full length; of equal
-windows the earliest stays and the words of the others are removed.
+lost, and about one position in six is sent. What survives is hashed with two bases at the full length; of equal
+windows the earliest stays and the words of the others are removed. Windows are told apart by these hashes, and words
+by 64 bits: two different words are taken for one with a probability of 2^-64 a pair.
 
 Before anything is shuffled, each task settles what it can see alone: an anchor it meets twice has survived, a
 window it meets again is not the earliest. Of each it sends one on, so no key gathers more rows than there are tasks.
+What arrives is sorted by key and read as a stream, so the size of a partition does not matter.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import in_groups, map_arrow, rows
+from sparkloom.llm.common import in_groups, map_arrow, rows, with_totals
 from sparkloom.llm.hashing import BASES, run_hashes, sliding, word_hashes
 from sparkloom.workspace import materialise
 
@@ -46,12 +48,24 @@ def _half_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     return words, counts, h, least
 
 
-def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
-    parts = [[] for _ in range(n)]
+def _arrays(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in b.columns]
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first, cut so that no key goes on in the next piece."""
+    held: list[list[np.ndarray]] = []
     for b in batches:
-        for p, c in zip(parts, b.columns, strict=True):
-            p.append(c.to_numpy(zero_copy_only=False))
-    return [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
+        if not b.num_rows:
+            continue
+        x = _arrays(b)
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        if cut or (held and held[-1][0][-1] != x[0][0]):
+            yield [np.concatenate(c) for c in zip(*held, [y[:cut] for y in x], strict=True)]
+            held = []
+        held.append([y[cut:] for y in x])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _batch(names: list[str], cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -94,16 +108,14 @@ def anchors(base: DataFrame, length: int) -> DataFrame:
         yield from _batch(["k", "did", "th", "pos", "sure"], [key, did, th, pos, sure])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, did, th, pos, sure = _columns(batches, 5)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        same = np.zeros(len(key) + 1, bool)
-        if len(key):
-            same[1:-1] = key[1:] == key[:-1]
-        at = order[same[1:] | same[:-1] | sure[order].astype(bool)]
-        yield from _batch(["did", "th", "pos"], [did[at], th[at], pos[at]])
-
-    dealt = map_arrow(base, emit, "k long, did long, th long, pos int, sure boolean").repartition("k")
+        for key, did, th, pos, sure in _whole_keys(batches):
+            same = np.zeros(len(key) + 1, bool)
+            if len(key):
+                same[1:-1] = key[1:] == key[:-1]
+            at = same[1:] | same[:-1] | sure.astype(bool)
+            yield from _batch(["did", "th", "pos"], [did[at], th[at], pos[at]])
+
+    dealt = map_arrow(base, emit, "k long, did long, th long, pos int, sure boolean").repartition("k").sortWithinPartitions("k")
     return map_arrow(dealt, keep, "did long, th long, pos int")
 
 
@@ -142,12 +154,21 @@ def repeats(texts: DataFrame, length: int) -> DataFrame:
         yield from _batch(["k1", "k2", "did", "start", "th", "again"], [x[order] for x in (one, two, did, start, th, again)])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, did, start, th, sure = _columns(batches, 6)
-        again, _ = _later(one, two, did, start)
-        at = np.flatnonzero(again | sure.astype(bool))
-        yield from _batch(["did", "th", "start"], [did[at], th[at], start[at]])
-
-    dealt = map_arrow(texts, emit, "k1 long, k2 long, did long, start int, th long, again boolean").repartition("k1")
+        lead = None  # the earliest of the key at hand
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one, two, did, start, th, sure = _arrays(b)
+            new = np.ones(len(one), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            new[0] = lead is None or (one[0], two[0]) != lead[:2]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(one)), -1))
+            d, s = np.where(at < 0, did[0] if lead is None else lead[2], did[at]), np.where(at < 0, start[0] if lead is None else lead[3], start[at])
+            again = (did != d) | (start != s) | sure.astype(bool)
+            lead = (one[-1], two[-1], d[-1], s[-1])
+            yield from _batch(["did", "th", "start"], [did[again], th[again], start[again]])
+
+    dealt = map_arrow(texts, emit, "k1 long, k2 long, did long, start int, th long, again boolean").repartition("k1").sortWithinPartitions("k1", "k2", "did", "start")
     return map_arrow(dealt, keep, "did long, th long, start int")
 
 
@@ -186,8 +207,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     stats = materialise(map_arrow(base, measure, "did long, th long, n_words long, sha string"), "word-stats")
     # A whole text that stands earlier is a repeat from end to end, and adds no window of its own.
-    firsts = stats.filter(F.col("n_words") >= length).groupBy("sha").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = materialise(stats.join(firsts, "sha").filter("did > first").select("did", "th").distinct(), "copies")
+    each = stats.filter(F.col("n_words") >= length).select("sha", "did", "th").distinct()
+    copies = materialise(with_totals(each, ["sha"], "did", {"first": "did"}).filter("did > first").select("did", "th").distinct(), "copies")
 
     alive = anchors(base, length).groupBy("did", "th").agg(F.collect_set("pos").alias("at"))
     alive = materialise(alive.join(copies, ["did", "th"], "left_anti"), "anchors")
