@@ -73,16 +73,17 @@ class Out:
 SALTS = 256
 
 
-def with_totals(rows: DataFrame, keys: list[str], spread: str, least: dict[str, str] | None = None, kept: str = "n > 1", sums: dict[str, str] | None = None) -> DataFrame:
-    """Rows whose key passes *kept*, with ``n``, the rows of their key, and the minima and sums named over all of them.
+def with_totals(rows: DataFrame, keys: list[str], spread: str, aggregates: dict[str, tuple[Column, Column]] | None = None, kept: str = "n > 1") -> DataFrame:
+    """Rows whose key passes *kept*, with ``n``, the rows of their key, and the *aggregates* over all of them.
 
     A key that holds a third of the table must not land in one task: rows are dealt by key and a salt from *spread*.
-    Sums by key and salt are summed by key, SALTS rows of one at most, and come back by key and salt.
+    What is summed up by key and salt (the first of an aggregate's two steps) is summed up by key (the second), SALTS
+    rows of one at most, and comes back by key and salt. Null keys are dropped.
     """
-    lows, adds = least or {}, sums or {}
+    more = aggregates or {}
     dealt = rows.withColumn("salt__", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    part = dealt.groupBy(*keys, "salt__").agg(F.count(F.lit(1)).alias("n__"), *[F.min(F.expr(e)).alias(c) for c, e in lows.items()], *[F.sum(F.expr(e)).alias(c) for c, e in adds.items()])
-    total = part.groupBy(*keys).agg(F.collect_list("salt__").alias("salts__"), F.sum("n__").alias("n"), *[F.min(c).alias(c) for c in lows], *[F.sum(c).alias(c) for c in adds]).filter(kept)
+    part = dealt.groupBy(*keys, "salt__").agg(F.count(F.lit(1)).alias("n"), *[f.alias(c) for c, (f, _) in more.items()])
+    total = part.groupBy(*keys).agg(F.collect_list("salt__").alias("salts__"), F.sum("n").alias("n"), *[g.alias(c) for c, (_, g) in more.items()]).filter(kept)
     back = total.withColumn("salt__", F.explode("salts__")).drop("salts__")
     return dealt.join(back, [*keys, "salt__"]).drop("salt__")
 

@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = text_of(docs, id_col, text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     slim = materialise(base.select("doc_id", "th", F.sha2(norm_text("text"), 256).alias("text_sha256")), "digests")
     each = slim.groupBy("doc_id", "th", "text_sha256").agg(F.count(F.lit(1)).alias("times"))
-    cand = with_totals(each, ["text_sha256"], "doc_id", kept="rows > 1", sums={"rows": "times"}).select("doc_id", "th", "text_sha256", "times")
+    cand = with_totals(each, ["text_sha256"], "doc_id", {"rows": (F.sum("times"), F.sum("rows"))}, "rows > 1").select("doc_id", "th", "text_sha256", "times")
     cand = materialise(cand.withColumn("rid", F.monotonically_increasing_id()), "candidates")
     # The one shuffle of whole texts. The list of candidates grows with the table, so it is never broadcast; a
     # partition's share of it is far smaller than its texts, so it is hashed and the texts need not be sorted.
@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = base.join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("rid", "csha", norm_text("text").alias("t"))
     texts = found.filter(F.sha2("t", 256) == F.col("csha")).select("rid", "t")
     named = materialise(identities(texts, block_chars).join(cand, "rid").select("name", "doc_id", "text_sha256", "times"), "identities")
-    named = with_totals(named, ["name"], "doc_id", {"keep_id": "doc_id"}, "true", {"group_size": "times"})
+    named = with_totals(named, ["name"], "doc_id", {"keep_id": (F.min("doc_id"), F.min("keep_id")), "group_size": (F.sum("times"), F.sum("group_size"))}, "true")
     verdict = named.select(F.col("doc_id").alias("vid"), F.col("text_sha256").alias("vsha"), "keep_id", "group_size").distinct()
     out = slim.join(verdict, F.col("doc_id").eqNullSafe(F.col("vid")) & (F.col("text_sha256") == F.col("vsha")), "left")
     keep = F.when(F.col("vsha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))

@@ -9,9 +9,10 @@ the start.
 
 Nobody compares all pairs of a bucket. In the first round every member meets only the smallest one, in the second
 one chosen by hash, unless the two are connected already; what buckets still hold apart is then compared pair by
-pair (small buckets) or in blocks of registers (large ones), so no link between components is missed. Registers give
-a Jaccard estimate, corrected for chance collisions; pairs within five standard errors of the threshold go on to the
-comparison of the full sets.
+pair in small buckets. Members of large ones are joined by a prefix filter, exact for sets: shingles are ordered from
+rare to frequent, and sets that meet the threshold share one of their first few. So what only a template has in
+common is never compared, and no link between components is missed. Registers give a Jaccard estimate, corrected for
+chance collisions; pairs within five standard errors of the threshold go on to the comparison of the full sets.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import in_groups, map_arrow, rows, ship
+from sparkloom.llm.common import in_groups, map_arrow, rows, ship, with_totals
 from sparkloom.llm.graph import components
 from sparkloom.llm.hashing import BASES, mix, run_hashes, word_hashes
 from sparkloom.workspace import materialise
@@ -39,6 +40,10 @@ MISS = 1e-5  # how likely a pair at the threshold may meet in no band
 SMALL = 16
 BLOCK, BLOCK_VALUES = 512, 1_000_000
 COLUMNS = 4096
+#: Counters of shingle frequencies, however many shingles there are; they only set an order.
+SKETCH_BITS = 17
+#: Pairs of one document beyond which its set is sent to more tasks than one.
+FAN = 512
 _EDGES = np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 
 
@@ -125,16 +130,22 @@ def _bands(nodes: DataFrame, band: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those of ``(a, b)`` whose full sets meet the threshold."""
+    """``(hub, b)`` → ``(a, b)``, a < b, of those whose full sets meet the threshold.
+
+    A hub may have any number of pairs: they are dealt in parts of about FAN, and each part has a copy of its set.
+    """
+    sized = with_totals(pairs.select("hub", "b"), ["hub"], "b", kept="true").withColumn("parts", F.ceil(F.col("n") / FAN).cast("int"))
+    sized = materialise(sized.select("hub", "b", "parts", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")), "pairs")
+    hubs = sized.select("hub", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).distinct()
     side = lambda x: nodes.select(F.col("rep").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 t = pa.table(b)
-                n, m = (t.column(x).to_numpy().astype(float) for x in ("n_a", "n_b"))
-                at = np.flatnonzero(plausible(_regs(t.column("regs_a")), _regs(t.column("regs_b")), n, m, threshold))
-                yield b.select(["a", "b"]).take(pa.array(at))
+                n, m = (t.column(x).to_numpy().astype(float) for x in ("n_hub", "n_b"))
+                at = np.flatnonzero(plausible(_regs(t.column("regs_hub")), _regs(t.column("regs_b")), n, m, threshold))
+                yield b.select(["hub", "part", "b"]).take(pa.array(at))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,20 +154,27 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int)
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= threshold * (len(s) + len(t) - both):
-                    a_out.append(a)
-                    b_out.append(b)
+                    a_out.append(min(a, b))
+                    b_out.append(max(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    maybe = map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b"), likely, "a long, b long")
+    registered = sized.join(hubs.join(side("hub"), "hub"), ["hub", "part"]).join(side("b"), "b")
+    maybe = map_arrow(registered.select("hub", "part", "b", "regs_hub", "regs_b", "n_hub", "n_b"), likely, "hub long, part int, b long")
     held = lambda x: sets.select(F.col("rep").alias(x), F.col("s").alias(f"s_{x}"))
-    return map_arrow(maybe.join(held("a"), "a").join(held("b"), "b").select("a", "b", "s_a", "s_b"), confirm, "a long, b long")
+    both = maybe.join(hubs.join(held("hub"), "hub"), ["hub", "part"]).join(held("b"), "b")
+    return map_arrow(both.select("hub", "b", "s_hub", "s_b"), confirm, "a long, b long")
+
+
+def _span() -> dict[str, tuple[Column, Column]]:
+    """The smallest and the largest component among the rows of a key."""
+    return {"lo": (F.min("comp"), F.min("lo")), "hi": (F.max("comp"), F.max("hi"))}
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their components, of the buckets that still hold more than one."""
-    m = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    return m.join(mixed, "key", "left_semi")
+    """Members, with their components and that of the drawn one, of the buckets that still hold more than one."""
+    m = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "n")
+    own = F.min(F.when(F.col("rep") == F.col("drawn"), F.col("comp")))
+    return with_totals(m, ["key"], "rep", _span() | {"other": (own, F.min("other"))}, "lo <> hi")
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -196,23 +214,63 @@ def _bridges(pairs: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _prefixes(held: DataFrame, threshold: int) -> DataFrame:
+    """``(rep, comp, s)`` → ``(token, rep, comp, size, pos)``: the first tokens of each set, rarest first.
+
+    Any order that is the same for all sets makes the filter exact; counters of a fixed number, which tokens share,
+    keep what is in many sets out of the prefixes.
+    """
+    shift = np.uint64(64 - SKETCH_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        for (s,) in rows(batches):
+            seen += np.bincount((np.frombuffer(s, np.uint64) >> shift).astype(np.int64), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["i", "n"])
+
+    found = map_arrow(held.select("s"), count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << SKETCH_BITS, np.int64)
+    often[found.column("i").to_numpy()] = found.column("n").to_numpy()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, comp, s in rows(batches):
+            s = np.frombuffer(s, np.uint64)
+            n = len(s) + (-threshold * len(s) // 100) + 1  # all but the number that must be shared, and one
+            first = s[np.lexsort((s, often[(s >> shift).astype(np.int64)]))[:n]]
+            same = lambda x, t: pa.array(np.full(n, x), t)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), same(rep, pa.int64()), same(comp, pa.int64()), same(len(s), pa.int64()), pa.array(np.arange(n, dtype=np.int32))], names=["token", "rep", "comp", "size", "pos"])
+
+    return map_arrow(held.select("rep", "comp", "s"), cut, "token long, rep long, comp long, size long, pos int")
+
+
 def _rest(apart: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """What still has to be compared, as pairs to test, and links that are confirmed already.
+    """What still has to be compared, as pairs ``(hub, b)`` to test, and links that are confirmed already.
 
-    Small buckets give the pairs of different components in them. Members of large buckets are gathered in clusters
-    (buckets that share a member are one), each cluster is cut into blocks of bounded size, and every two blocks meet
-    in one task, which compares full sets and gives back only links between components, one for each join.
+    Small buckets give the pairs of different components in them. Members of large ones meet by the tokens of their
+    prefixes: rare tokens give pairs too. What shares a token that is frequent in the prefixes themselves is gathered
+    in clusters (tokens that share a member are one), each is cut into blocks of bounded size, and every two blocks
+    meet in one task, which compares full sets and gives back only links between components, one for each join.
     """
-    large = apart.filter(F.col("n") > SMALL)
+    members = apart.filter(F.col("n") > SMALL).select("rep", "comp").distinct().join(sets, "rep")
+    tokens = materialise(with_totals(_prefixes(materialise(members, "members"), threshold), ["token"], "rep", _span(), "lo <> hi"), "prefixes")
+    pairs = None
+    for rows_, key, extra in ((apart, "key", ()), (tokens, "token", ("size", "pos"))):
+        some = rows_.filter(F.col("n") <= SMALL)
+        x, y = (some.select(key, *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "comp", *extra)]) for side in "xy")
+        met = x.join(y, key).filter("rep_x < rep_y AND comp_x <> comp_y")
+        if extra:
+            # At the first token that two sets share, no more than the shorter rest of both can be shared.
+            most = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
+            met = met.filter((100 + threshold) * most >= threshold * (F.col("size_x") + F.col("size_y")))
+        met = met.select(F.col("rep_x").alias("hub"), F.col("rep_y").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+
+    large = tokens.filter(F.col("n") > SMALL).select(F.col("token").alias("key"), "rep", "comp")
     heads = large.groupBy("key").agg(F.min("rep").alias("head"))
     cluster = materialise(components(large.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b"))), "clusters")
     in_cluster = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cl"))
 
-    small = apart.filter(F.col("n") <= SMALL).join(in_cluster, "rep", "left")
-    one = small.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("cl").alias("la"))
-    two = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("cl").alias("lb"))
-    pairs = one.join(two, "key").filter("a < b AND ca <> cb AND (la <> lb OR la IS NULL OR lb IS NULL)").select("a", "b")
-
     held = large.select("rep", "comp").distinct().join(in_cluster, "rep").join(sets.withColumn("size", F.octet_length("s") / 8), "rep")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_VALUES)).cast("int")
     blocks = held.groupBy("cl").agg(parts.alias("parts"))
@@ -250,8 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = signed.filter("n > 0 AND did IS NOT NULL")
     nodes = materialise(live.groupBy("fp").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
     bands = _bands(nodes, band_size(threshold))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.min_by("rep", F.xxhash64("rep")).alias("drawn")).filter("n > 1")
-    members = materialise(bands.join(shared, "key"), "members")
+    drawn = {"least": (F.min("rep"), F.min("least")), "at": (F.min(F.xxhash64("rep")), F.min("at")), "drawn": (F.min_by("rep", F.xxhash64("rep")), F.min_by("drawn", "at"))}
+    members = materialise(with_totals(bands, ["key"], "rep", drawn).drop("at"), "members")
 
     wanted = members.select(F.col("rep").alias("did")).distinct()
 
@@ -263,8 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = base.join(wanted, "did", "left_semi").select("did", "text")
     sets = materialise(map_arrow(chosen, to_sets, "rep long, s binary"), "sets")
 
-    tested = members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = materialise(tested, "pairs")
+    tested = materialise(members.filter("rep <> least").select(F.col("least").alias("hub"), F.col("rep").alias("b")).distinct(), "pairs")
     links = materialise(_links(tested, nodes, sets, threshold), "links")
     labels = materialise(components(links), "labels")
     for step in ("drawn", "rest"):
@@ -272,12 +329,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if apart.isEmpty():
             break
         if step == "drawn":
-            own = apart.select("key", F.col("rep").alias("drawn"), F.col("comp").alias("other"))
-            pairs = apart.join(own, ["key", "drawn"]).filter("comp <> other").select(F.least("rep", "drawn").alias("a"), F.greatest("rep", "drawn").alias("b"))
+            pairs = apart.filter("comp <> other").select(F.col("drawn").alias("hub"), F.col("rep").alias("b"))
         else:
             pairs, sure = _rest(apart, sets, threshold)
             links = links.unionByName(materialise(sure, "links"))
-        fresh = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        both = lambda p: p.withColumns({"low": F.least("hub", "b"), "high": F.greatest("hub", "b")})
+        fresh = both(pairs.distinct()).dropDuplicates(["low", "high"]).join(both(tested).select("low", "high"), ["low", "high"], "left_anti")
+        fresh = materialise(fresh.select("hub", "b"), "pairs")
         links = links.unionByName(materialise(_links(fresh, nodes, sets, threshold), "links"))
         labels = materialise(components(links), "labels")
         tested = tested.unionByName(fresh)

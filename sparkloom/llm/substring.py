@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stats = materialise(map_arrow(base, measure, "did long, th long, n_words long, sha string"), "word-stats")
     # A whole text that stands earlier is a repeat from end to end, and adds no window of its own.
     each = stats.filter(F.col("n_words") >= length).select("sha", "did", "th").distinct()
-    copies = materialise(with_totals(each, ["sha"], "did", {"first": "did"}).filter("did > first").select("did", "th").distinct(), "copies")
+    copies = materialise(with_totals(each, ["sha"], "did", {"first": (F.min("did"), F.min("first"))}).filter("did > first").select("did", "th").distinct(), "copies")
 
     alive = anchors(base, length).groupBy("did", "th").agg(F.collect_set("pos").alias("at"))
     alive = materialise(alive.join(copies, ["did", "th"], "left_anti"), "anchors")

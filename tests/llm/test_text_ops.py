@@ -184,6 +184,26 @@ def test_near_dedup_of_chains_and_large_groups(spark):
     assert got == brute.near(rows)
 
 
+@pytest.mark.parametrize("small", [2, 16])
+def test_near_dedup_of_pages_from_one_template(spark, monkeypatch, small):
+    """What most pages share alone is not compared; pairs among them are found, by rare tokens and by frequent ones."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng = np.random.default_rng(8)
+    stem = [f"t{i}" for i in range(170)]
+    own = lambda i, n: [f"u{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join([*stem, *own(i, 30)])) for i in range(200)]
+    rows += [(1000 + i, " ".join([*stem, *own(i, 28), f"z{i}"])) for i in range(0, 200, 9)]
+    for g in range(4):  # sections that many pages have, each page with some
+        part = [f"s{g}x{k}" for k in range(25)]
+        rows += [(2000 + 100 * g + i, " ".join([*stem, *part[: int(rng.integers(15, 25))], *own(2000 + 100 * g + i, int(rng.integers(4, 14)))])) for i in range(25)]
+    met = []
+    links = neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda p, *a: (met.append(p.distinct().count()), links(p, *a))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute.near(rows)
+    assert sum(met) < len(rows) * len(rows) / 8, met
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
