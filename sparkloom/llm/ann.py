@@ -6,9 +6,10 @@ projection. A query opens a window around its own projection in every array; vec
 widened step by step (virtual rehashing), only the new rings being counted, and a vector whose collisions pass the
 threshold is verified with its exact score. A query stops in a block when the windows' radius holds its k-th best.
 
-Queries search the block they would lie in themselves first. The k-th best score found there bounds the radius for
-all others: a query goes on only to cells that could hold a vector with enough collisions at that radius, and brings
-back only what is no worse. Blocks travel once for each 16,384 queries, queries once for each block they touch.
+Queries search the block they would lie in themselves first. The k-th best score found there gives the radius for
+all others: a query goes on only to cells that could hold a vector with enough collisions within it, opens its windows
+at that width at once, and brings back only what is no worse. A window wider than half its array is counted by what
+lies outside of it. Blocks travel once for each 16,384 queries, queries once for each block they touch.
 
 Inner products are searched as distances: scaled to the largest norm, each vector gets one more component that lifts
 it to the unit sphere, where the nearest vector is the one with the largest inner product.
@@ -36,7 +37,7 @@ SHARE = 0.83
 #: Half widths of the windows, as multiples of the distance within which the k-th neighbour is sought.
 WIDTH = 1.5
 #: Those distances, closest together where unrelated vectors begin.
-RADII = (0.1, 0.2, 0.4, 0.6, 0.75, 0.85, 0.95, 1.0, 1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.4, 1.6)
+RADII = (0.15, 0.4, 0.65, 0.85, 1.0, 1.1, 1.2, 1.3, 1.45, 1.65)
 #: The splits are the medians of a sample of this size; there are 2^SPLITS cells at most, however large the table.
 SAMPLE, SPLITS = 16_384, 10
 
@@ -59,6 +60,11 @@ def _project(lifted: np.ndarray, direction: np.ndarray) -> np.ndarray:
     return (lifted * direction).sum(axis=1)
 
 
+def radius_of(score: np.ndarray | float, reach: np.ndarray | float) -> np.ndarray | float:
+    """On the unit sphere: how far from the query a vector of this score lies; *reach* is the largest score there could be."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(score, -reach) / reach))
+
+
 class Cells:
     """Random splits at the medians of a sample, level by level: a cell is the path of a vector's sides."""
 
@@ -91,10 +97,9 @@ class Bounds:
         """Which cells (columns) may hold a vector that collides often enough within *radius* of each query."""
         need = int(np.ceil(SHARE * self.low.shape[1]))
         at = lift_queries(queries) @ random_directions(self.low.shape[1], queries.shape[1] + 1, SEED).T
-        level = np.searchsorted(RADII, radius)
         out = np.ones((len(queries), len(self.cells)), bool)
-        for i in np.flatnonzero(level < len(RADII)):
-            w = WIDTH * RADII[level[i]] + 1e-5
+        for i in range(len(queries)):
+            w = WIDTH * radius[i] + 1e-5
             out[i] = ((at[i] + w >= self.low) & (at[i] - w <= self.high)).sum(axis=1) >= need
         return out
 
@@ -103,7 +108,7 @@ class BlockIndex:
     """Sorted arrays of one block."""
 
     def __init__(self, ids: np.ndarray, times: np.ndarray, vectors: np.ndarray, sorted_: np.ndarray, order: np.ndarray, scale: float, seed: int = SEED):
-        self.ids, self.times, self.vectors, self.sorted, self.order, self.scale = ids, times, vectors, sorted_, order, scale
+        self.ids, self.times, self.vectors, self.sorted, self.order, self.scale = ids, times, vectors, sorted_, order.astype(np.intp), scale
         self.directions = random_directions(len(order), vectors.shape[1] + 1, seed)
         self.verified = 0
 
@@ -120,15 +125,16 @@ class BlockIndex:
         """
         norms = np.linalg.norm(queries, axis=1)
         at = (self.directions @ lift_queries(queries).T).astype(np.float32)
-        w = (WIDTH * np.array([0.0, *RADII])).astype(np.float32)
-        lo = np.stack([np.searchsorted(row, x[:, None] - w, "left") for row, x in zip(self.sorted, at, strict=True)], axis=2)
-        hi = np.stack([np.searchsorted(row, x[:, None] + w, "right") for row, x in zip(self.sorted, at, strict=True)], axis=2)
-        hi[:, 0] = lo[:, 0]
+        radii = np.where(np.isinf(floors)[:, None], RADII, radius_of(floors, self.scale * norms)[:, None])
         out = []
-        for i, q in enumerate(query_ids.tolist()):
-            slack = 1e-12 * self.scale * norms[i]
-            exact = self._one(q, queries[i], norms[i], lo[i].tolist(), hi[i].tolist(), floors[i], k)
-            out += [(q, *found) for found in self._best(queries[i], exact, k, slack, floors[i])]
+        for whole, some in ((True, np.flatnonzero(np.isinf(floors))), (False, np.flatnonzero(~np.isinf(floors)))):
+            r = radii[some] if whole else radii[some, :1]
+            w = WIDTH * r
+            edge = lambda sign, side: np.stack([row.searchsorted((x[some, None] + sign * w).astype(np.float32), side) for row, x in zip(self.sorted, at, strict=True)], axis=2)  # noqa: B023, E731
+            lo, hi = edge(-1, "left"), edge(1, "right")
+            for j, i in enumerate(some.tolist()):
+                exact = self._one(int(query_ids[i]), queries[i], norms[i], r[j], lo[j].tolist(), hi[j].tolist(), floors[i], k)
+                out += [(int(query_ids[i]), *found) for found in self._best(queries[i], exact, k, 1e-12 * self.scale * norms[i], floors[i])]
         return out
 
     def _kth(self, scores: np.ndarray, times: np.ndarray, k: int) -> float:
@@ -149,17 +155,26 @@ class BlockIndex:
         at = np.lexsort((self.ids[some], -score))[:k]
         return list(zip(self.ids[some][at].tolist(), score[at].tolist(), self.times[some][at].tolist(), strict=True))
 
-    def _one(self, query_id: int, q: np.ndarray, norm: float, lo: list[list[int]], hi: list[list[int]], floor: float, k: int) -> np.ndarray:
+    def _collisions(self, lo: list[int], hi: list[int]) -> np.ndarray:
+        """In how many arrays each vector lies in the window; the shorter of inside and outside is counted."""
+        n, order = len(self.ids), self.order
+        if 2 * (sum(hi) - sum(lo)) <= order.size:
+            return np.bincount(np.concatenate([r[a:b] for r, a, b in zip(order, lo, hi, strict=True)]), minlength=n)
+        outside = [r[:a] for r, a in zip(order, lo, strict=True)] + [r[b:] for r, b in zip(order, hi, strict=True)]
+        return len(order) - np.bincount(np.concatenate(outside), minlength=n)
+
+    def _one(self, query_id: int, q: np.ndarray, norm: float, radii: np.ndarray, lo: list[list[int]], hi: list[list[int]], floor: float, k: int) -> np.ndarray:
         """Scores of the verified vectors, minus infinity for the others."""
         n, order = len(self.ids), self.order
         need = int(np.ceil(SHARE * len(order)))
-        seen = np.zeros(n, np.int64)
-        done, exact = self.ids == query_id, np.full(n, -np.inf)
-        kth = floor
-        for level, radius in enumerate(RADII, 1):
-            rings = [r[a:b] for r, a, b in zip(order, lo[level], lo[level - 1], strict=True)]
-            rings += [r[a:b] for r, a, b in zip(order, hi[level - 1], hi[level], strict=True)]
-            seen += np.bincount(np.concatenate(rings), minlength=n)
+        done, exact, kth, seen = self.ids == query_id, np.full(n, -np.inf), floor, None
+        for level, radius in enumerate(radii):
+            if seen is None:
+                seen = self._collisions(lo[0], hi[0])
+            else:
+                rings = [r[a:b] for r, a, b in zip(order, lo[level], lo[level - 1], strict=True)]
+                rings += [r[a:b] for r, a, b in zip(order, hi[level - 1], hi[level], strict=True)]
+                seen = seen + np.bincount(np.concatenate(rings), minlength=n)
             fresh = np.flatnonzero((seen >= need) & ~done)
             if len(fresh):
                 done[fresh] = True
@@ -167,8 +182,8 @@ class BlockIndex:
                 self.verified += len(fresh)
                 good = np.flatnonzero(exact >= floor)
                 kth = max(kth, self._kth(exact[good], self.times[good], k))
-            if 2 - 2 * kth / (self.scale * norm) <= radius**2:
-                return exact  # on the unit sphere, the k-th best lies within this radius
+            if radius_of(kth, self.scale * norm) <= radius:
+                return exact
         rest = np.flatnonzero(~done)
         exact[rest] = self.vectors[rest] @ q
         self.verified += len(rest)
@@ -259,7 +274,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         at = np.lexsort((*v.T[::-1], ids))
         x = BlockIndex.build(ids[at], times[at], v[at], scale)
         keys = {c: t.column(c).slice(0, 1).cast(pa.int32()) for c in ("d", "cell", "part")}
-        blobs = {c: pa.array([a.tobytes()], pa.binary()) for c, a in (("ids", x.ids), ("times", x.times), ("vectors", x.vectors), ("sorted", x.sorted), ("places", x.order))}
+        blobs = {c: pa.array([a.tobytes()], pa.binary()) for c, a in (("ids", x.ids), ("times", x.times), ("vectors", x.vectors), ("sorted", x.sorted), ("places", x.order.astype(np.int32)))}
         return pa.table(keys | blobs | {"low": pa.array([x.sorted[:, 0].tolist()], pa.list_(pa.float32())), "high": pa.array([x.sorted[:, -1].tolist()], pa.list_(pa.float32()))})
 
     dealt = placed.join(sizes, ["d", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), "parts").cast("int"))
@@ -309,7 +324,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 for x in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
                     v = _matrix(x.column("v"), d)
                     reach = scale * np.linalg.norm(v, axis=1)
-                    radius = np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(x.column("floor").to_numpy(), -reach) / reach))
+                    radius = np.where(np.isinf(x.column("floor").to_numpy()), np.inf, radius_of(x.column("floor").to_numpy(), reach))
                     q, c = np.nonzero(bounds.touched(v, radius)) if d == main else (np.arange(len(v)), None)
                     cell = np.zeros(len(v)) if c is None else bounds.cells[c]
                     yield x.take(pa.array(q)).append_column("cell", pa.array(cell.astype(np.int32)))
