@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ CHUNK_CHARS = 1 << 16
 FAN = 64
 MOST_KEPT = 400_000
 NONE = -np.inf
+#: A run of this many characters, none worse than LEAST, has a sum that single precision holds exactly.
+RUN, LEAST = 400, -40_000.0
 MARK = "\u2581"
 _LEAD = re.compile(r"[^ \n]*")
 _UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
@@ -232,10 +234,12 @@ class PieceEncoder:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.model_path = path
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.space = self.sp.piece_to_id(MARK)
         self.piece_ids = {p: i for i, p in enumerate(pieces) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))}
+        self.normal = frozenset(self.piece_ids.values())
         scores = {p: self.sp.get_score(i) for p, i in self.piece_ids.items()}
         #: As the library has it: what no piece covers costs ten more than the worst piece.
         self.lexicon = ModelLexicon(path, scores, min(scores.values(), default=0.0) - 10.0)
@@ -290,9 +294,53 @@ class PieceEncoder:
         score = self.lexicon.scores.get
         return self.ids_of(pieces), sum([score(p, self.lexicon.unknown) for p in pieces])
 
-    def _best_unit(self, unit: str) -> tuple[bytes, float]:
-        t = unit.replace(" ", MARK)
-        return self.path(self.lexicon.backtrace(t, 0, len(t), 0, 0))
+    @cached_property
+    def unigram(self):
+        """The library's own search for the best path, for units alone: its single precision is exact for short runs.
+
+        Scores that no path of a unit can use are raised, as single precision would lose the others beside them.
+        """
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(self.model_path, "rb") as f:
+            model.ParseFromString(f.read())
+        model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
+        self.costs = np.zeros(len(model.pieces))
+        for i, p in enumerate(model.pieces):
+            if i in self.normal:
+                self.costs[i] = p.score
+                p.score = max(p.score, LEAST)
+        for b, i in enumerate(self.byte_ids):
+            self.costs[i] = 0.0 if 0x80 <= b < 0xC0 else self.lexicon.unknown  # once a character
+        return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+    def _learn_best(self, units: list[str]) -> None:
+        """Units of one space and a word are searched in runs of bounded cost, others one by one."""
+        runs, size, rest = [[]], 0, []
+        for u in units:
+            if u[0] != " " or u[1:2] in ("", " ") or len(u) > RUN or not self.byte_ids:
+                rest.append(u)
+                continue
+            size += len(u)
+            if size > RUN:
+                runs.append([])
+                size = len(u)
+            runs[-1].append(u)
+        unigram = self.unigram
+        for run, found in zip(runs, unigram.encode(["".join(r)[1:] for r in runs], num_threads=1), strict=True):
+            if not run:
+                continue
+            ids = np.array(found, "<u4")
+            cuts = np.flatnonzero(self.leads[ids])
+            scores = np.add.reduceat(self.costs[ids], cuts).tolist()
+            raw, at = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+            for u, lo, hi, score in zip(run, at[:-1], at[1:], scores, strict=True):
+                self.best_kept[u] = (raw[lo:hi], score)
+        for u in rest:
+            t = u.replace(" ", MARK)
+            self.best_kept[u] = self.path(self.lexicon.backtrace(t, 0, len(t), 0, 0))
 
     def encode_inner(self, t: str) -> bytes:
         """Ids of a chunk within a text: no space is put before it."""
@@ -319,12 +367,9 @@ class PieceEncoder:
             if best is not None:
                 try:
                     paths = list(map(self.best_kept.__getitem__, units))
+                    best.append((b"".join([p[0] for p in paths]), sum([p[1] for p in paths])))
                 except KeyError:
-                    for u in set(units).difference(self.best_kept):
-                        if self.best_kept.fetch(u) is None:
-                            self.best_kept[u] = self._best_unit(u)
-                    paths = list(map(self.best_kept.__getitem__, units))
-                best.append((b"".join([p[0] for p in paths]), sum([p[1] for p in paths])))
+                    best.append(units)
         if lost:
             fetch = self.kept.fetch
             new = [u for u in set().union(*lost.values()).difference(self.kept) if fetch(u) is None]
@@ -332,6 +377,13 @@ class PieceEncoder:
                 self._learn(new)
             for i, units in lost.items():
                 out[i] = b"".join(map(get, units))
+        late = [i for i, x in enumerate(best or ()) if isinstance(x, list)]
+        if late:
+            new = [u for u in set().union(*[best[i] for i in late]).difference(self.best_kept) if self.best_kept.fetch(u) is None]
+            self._learn_best(new)
+            for i in late:
+                paths = list(map(self.best_kept.__getitem__, best[i]))
+                best[i] = (b"".join([p[0] for p in paths]), sum([p[1] for p in paths]))
         return out
 
     def encode(self, text: str | None) -> bytes:
