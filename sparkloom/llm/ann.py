@@ -99,7 +99,7 @@ class Bounds:
         at = lift_queries(queries) @ random_directions(self.low.shape[1], queries.shape[1] + 1, SEED).T
         out = np.ones((len(queries), len(self.cells)), bool)
         for i in range(len(queries)):
-            w = WIDTH * radius[i] + 1e-5
+            w = WIDTH * max(radius[i], RADII[0])
             out[i] = ((at[i] + w >= self.low) & (at[i] - w <= self.high)).sum(axis=1) >= need
         return out
 
@@ -125,7 +125,7 @@ class BlockIndex:
         """
         norms = np.linalg.norm(queries, axis=1)
         at = (self.directions @ lift_queries(queries).T).astype(np.float32)
-        radii = np.where(np.isinf(floors)[:, None], RADII, radius_of(floors, self.scale * norms)[:, None])
+        radii = np.where(np.isinf(floors)[:, None], RADII, np.maximum(RADII[0], radius_of(floors, self.scale * norms))[:, None])
         out = []
         for whole, some in ((True, np.flatnonzero(np.isinf(floors))), (False, np.flatnonzero(~np.isinf(floors)))):
             r = radii[some] if whole else radii[some, :1]
