@@ -29,7 +29,8 @@ from sparkloom.workspace import materialise
 CHUNK_CHARS = 1 << 16
 #: Transfer matrices that one task multiplies.
 FAN = 64
-MOST_KEPT = 400_000
+#: Units that a worker keeps at hand (twice as many at most).
+MOST_KEPT = 150_000
 NONE = -np.inf
 #: A run of this many characters, none worse than LEAST, has a sum that single precision holds exactly.
 RUN, LEAST = 400, -40_000.0
@@ -253,7 +254,6 @@ class PieceEncoder:
         self.byte_ids = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(self.sp.is_byte(i) for i in range(len(pieces))) else []
         self.bytes = [self._bytes(i, p) for i, p in enumerate(pieces)]
         self.kept = TwoGenerations(MOST_KEPT)
-        self.best_kept = TwoGenerations(MOST_KEPT)
 
     def _bytes(self, i: int, piece: str) -> bytes:
         if self.sp.is_control(i):
@@ -262,20 +262,22 @@ class PieceEncoder:
             return " \u2047 ".encode()
         return bytes([int(piece[1:-1], 16)]) if self.sp.is_byte(i) else piece.replace("\u2581", " ").encode()
 
-    def _learn(self, units: list[str]) -> None:
-        """Units of one space and a word are encoded in one run of text: only their first pieces hold the space."""
+    def _merged(self, units: list[str]) -> dict[str, bytes]:
+        """The library's ids. Units of one space and a word are encoded in one run of text: only their first pieces hold the space."""
+        out = {}
         spaced = [u for u in units if u[0] == " " and u[1:2] not in ("", " ")]
         if spaced:
             ids = np.array(self.sp.encode("".join(spaced)[1:]), "<u4")
             cuts = [*(np.flatnonzero(self.leads[ids]) * 4).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
             for u, at, end in zip(spaced, cuts[:-1], cuts[1:], strict=True):
-                self.kept[u] = raw[at:end]
+                out[u] = raw[at:end]
         for u in units:
             if u[0] != " ":  # the library's dummy space is one piece of its own before a line feed
-                self.kept[u] = np.array(self.sp.encode(u)[1:], "<u4").tobytes()
+                out[u] = np.array(self.sp.encode(u)[1:], "<u4").tobytes()
             elif u[1:2] in ("", " "):
-                self.kept[u] = np.array(self.sp.encode(u[1:]) if u[1:] else [self.space], "<u4").tobytes()
+                out[u] = np.array(self.sp.encode(u[1:]) if u[1:] else [self.space], "<u4").tobytes()
+        return out
 
     def ids_of(self, pieces: list[str]) -> bytes:
         """A character that is no piece is spelled in bytes, or unknown to models without them."""
@@ -316,9 +318,9 @@ class PieceEncoder:
             self.costs[i] = 0.0 if 0x80 <= b < 0xC0 else self.lexicon.unknown  # once a character
         return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
-    def _learn_best(self, units: list[str]) -> None:
-        """Units of one space and a word are searched in runs of bounded cost, others one by one."""
-        runs, size, rest = [[]], 0, []
+    def _best(self, units: list[str]) -> dict[str, tuple[bytes, float]]:
+        """Ids and scores. Units of one space and a word are searched in runs of bounded cost, others one by one."""
+        out, runs, size, rest = {}, [[]], 0, []
         for u in units:
             if u[0] != " " or u[1:2] in ("", " ") or len(u) > RUN or not self.byte_ids:
                 rest.append(u)
@@ -337,10 +339,11 @@ class PieceEncoder:
             scores = np.add.reduceat(self.costs[ids], cuts).tolist()
             raw, at = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
             for u, lo, hi, score in zip(run, at[:-1], at[1:], scores, strict=True):
-                self.best_kept[u] = (raw[lo:hi], score)
+                out[u] = (raw[lo:hi], score)
         for u in rest:
             t = u.replace(" ", MARK)
-            self.best_kept[u] = self.path(self.lexicon.backtrace(t, 0, len(t), 0, 0))
+            out[u] = self.path(self.lexicon.backtrace(t, 0, len(t), 0, 0))
+        return out
 
     def encode_inner(self, t: str) -> bytes:
         """Ids of a chunk within a text: no space is put before it."""
@@ -353,37 +356,35 @@ class PieceEncoder:
         *best* gets ids and score of each text's best path, put together from those of its units.
         """
         self.kept.tidy()
-        self.best_kept.tidy()
         get, lost, out = self.kept.__getitem__, {}, [b""] * len(marked)
+        paths: list[tuple[bytes, float]] = [(b"", 0.0)] * len(marked)
+
+        def put(i: int, units: list[str]) -> None:
+            found = list(map(get, units))
+            out[i] = b"".join([f[0] for f in found])
+            if best is not None:
+                paths[i] = b"".join([f[1] for f in found]), sum([f[2] for f in found])
+
         for i, t in enumerate(marked):
             if "  " in t or " \n" in t or "\0" in t:
                 units = _UNIT.findall(t)
             else:
                 units = t.replace(" ", "\0 ").replace("\n", "\0\n")[1:].split("\0")
             try:
-                out[i] = b"".join(map(get, units))
+                put(i, units)
             except KeyError:
                 lost[i] = units
-            if best is not None:
-                try:
-                    paths = list(map(self.best_kept.__getitem__, units))
-                    best.append((b"".join([p[0] for p in paths]), sum([p[1] for p in paths])))
-                except KeyError:
-                    best.append(units)
         if lost:
             fetch = self.kept.fetch
             new = [u for u in set().union(*lost.values()).difference(self.kept) if fetch(u) is None]
-            if new:
-                self._learn(new)
+            merged, path = self._merged(new), self._best(new)
+            for u in new:
+                ids, (best_ids, score) = merged[u], path[u]
+                self.kept[u] = (ids, ids if ids == best_ids else best_ids, score)
             for i, units in lost.items():
-                out[i] = b"".join(map(get, units))
-        late = [i for i, x in enumerate(best or ()) if isinstance(x, list)]
-        if late:
-            new = [u for u in set().union(*[best[i] for i in late]).difference(self.best_kept) if self.best_kept.fetch(u) is None]
-            self._learn_best(new)
-            for i in late:
-                paths = list(map(self.best_kept.__getitem__, best[i]))
-                best[i] = (b"".join([p[0] for p in paths]), sum([p[1] for p in paths]))
+                put(i, units)
+        if best is not None:
+            best += paths
         return out
 
     def encode(self, text: str | None) -> bytes:
