@@ -48,6 +48,14 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """*name*, with underscores behind it as far as *df* has such columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Out:
     """Collects rows and yields record batches of bounded size."""
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD
+from sparkloom.llm.common import WORD, free_name
 from sparkloom.workspace import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -53,16 +53,16 @@ def _boundary(sums: DataFrame, budget: DataFrame) -> DataFrame:
     return materialise(first.select("source", "e.*"), "edges")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken``.
+def _size(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
 
-    ``size`` counts words of the text (null: 0). Of a source with target T and size Z every document is taken
-    floor(T / Z) times; those up to the threshold, in order of (hash, id), once more, so that the sum comes as near
-    T as whole documents allow. A null source is a source. Rows that repeat an id are cut together only if their
-    hashes leave the same order, and count each. Empty tables and sources without words give targets of 0.
-    """
-    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    slim = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), id_hash(F.col(id_col)).alias("h")), "sizes")
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
+
+
+def thresholds(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """``(doc_id, source, size, h)`` → a row per source: target, whole repeats, and the hash up to which once more is taken."""
     goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = materialise(goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
@@ -82,14 +82,45 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = inside(edge, BITS[1]).withColumn("upto", F.col("base") + F.sum("size").over(order))
     placed = placed.filter(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest")).groupBy(F.col("source").alias("psource")).agg(F.max(F.struct("h", key.alias("k"))).alias("cut"))
     edge = edge.join(placed, F.col("source").eqNullSafe(F.col("psource")), "left").select(F.col("source").alias("esource"), F.col("bucket").alias("edge"), "cut")
-    cuts = materialise(
+    return materialise(
         goal.join(edge, F.col("source").eqNullSafe(F.col("esource")), "left").select(F.col("source").alias("tsource"), "source_size", "target", "whole", "edge", "cut"), "thresholds"
     )
 
-    picked = slim.join(cuts, F.col("source").eqNullSafe(F.col("tsource")))
-    at_edge = (bucket(BITS[1]) == F.col("edge")) & ((F.col("h") < F.col("cut.h")) | ((F.col("h") == F.col("cut.h")) & (key <= F.col("cut.k"))))
-    more = F.coalesce((bucket(BITS[1]) < F.col("edge")) | at_edge, F.lit(False))
-    return picked.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.when(more, 1).otherwise(0)) * F.col("size")).alias("taken"))
+
+def _taken(h: Column, doc_id: Column, at: str = "") -> Column:
+    """How often a document is taken whole, beside its source's row of ``thresholds``."""
+    key, bucket = F.coalesce(doc_id, F.lit(-(2**63))), F.shiftright(h, 60 - BITS[1])
+    at_edge = (bucket == F.col(at + "edge")) & ((h < F.col(at + "cut.h")) | ((h == F.col(at + "cut.h")) & (key <= F.col(at + "cut.k"))))
+    return F.col(at + "whole") + F.coalesce((bucket < F.col(at + "edge")) | at_edge, F.lit(False)).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """One row per input row: ``doc_id, size, source_size, target, taken``.
+
+    ``size`` counts words of the text (null: 0). Of a source with target T and size Z every document is taken
+    floor(T / Z) times; those up to the threshold, in order of (hash, id), once more, so that the sum comes as near
+    T as whole documents allow. A null source is a source. Rows that repeat an id are cut together only if their
+    hashes leave the same order, and count each. Empty tables and sources without words give targets of 0.
+    """
+    slim = materialise(_slim(docs, id_col, text_col, source_col), "sizes")
+    picked = slim.join(thresholds(slim, weights, most), F.col("source").eqNullSafe(F.col("tsource")))
+    return picked.select("doc_id", "size", "source_size", "target", (_taken(F.col("h"), F.col("doc_id")) * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of *docs*, with all their columns, as often as ``mix`` takes them; texts without words are not taken.
+
+    Each row is judged by itself beside the few thresholds of its source, so rows that share an id do not get each
+    other's copies, and texts are not shuffled.
+    """
+    cuts = thresholds(materialise(_slim(docs, id_col, text_col, source_col), "sizes"), weights, most)
+    cut, copy = (free_name(docs, n) for n in ("cut", "copy"))
+    cuts = cuts.select(F.struct("*").alias(cut))
+    source, doc_id = docs[source_col].cast("string"), docs[id_col].cast("long")
+    beside = docs.join(cuts, source.eqNullSafe(F.col(f"{cut}.tsource")))
+    times = _taken(id_hash(docs[id_col]), doc_id, f"{cut}.")
+    copies = F.when(_size(docs[text_col]) > 0, F.sequence(F.lit(1), times.cast("int"), F.lit(1)))
+    return beside.filter(times > 0).withColumn(copy, F.explode(copies)).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""

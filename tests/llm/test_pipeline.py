@@ -86,6 +86,24 @@ def test_dedup_stages_keep_one_row_of_each_group_with_repeated_and_null_ids(spar
     assert out == sorted([(4, a), (None, b), (3, c), (8, d)], key=str)
 
 
+def test_mix_stage_judges_each_row_by_its_own_source(spark, docs):
+    """An id in two sources, rows that repeat, null ids and sources, columns with the names used inside."""
+    words = " ".join(["w"] * 40)
+    rows = [(1, words, "en", s, 1) for s in ("a", "b", "c")] + [(i, words, "en", "c", 1) for i in range(2, 8)] * 2 + [(i, words, "en", "a", 1) for i in range(10, 60)] + [(None, words, "en", None, 1), (None, None, None, None, None), (3, "", "en", "b", 1)]
+    df = spark.createDataFrame(rows, docs.schema)
+    clash = df.withColumns({c: F.lit(c) for c in ("row", "id", "group", "cut", "copy", "copy_", "times", "taken", "size", "h", "key")})
+    got = corpus_pipeline.mix_stage(spark, clash, SF)
+    assert got.columns == clash.columns and {r.copy for r in got.select("copy").distinct().collect()} == {"copy"}
+    count = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    each = {r.source_size: r.target for r in mixing.mix(df).collect()}
+    size = {s: 40 * sum(1 for x in rows if x[3] == s and x[1]) for s in ("a", "b", "c", None)}
+    for s in size:
+        assert abs(40 * count.get(s, 0) - each[size[s]]) <= 40 * 2, s
+    for name in ("exact", "near"):
+        out = STAGES[name](spark, clash, SF)
+        assert out.columns == clash.columns and out.count() >= 1
+
+
 def test_whole_pipeline(spark):
     import sentencepiece
 
