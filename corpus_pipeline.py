@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exact, language, mixing, neardup, pieces
-from sparkloom.llm.common import ship
+from sparkloom.llm.common import free_name, ship
 from sparkloom.llm.queries import PIECES, tokenizer
-from sparkloom.workspace import fresh_path, materialise
+from sparkloom.workspace import fresh_path, materialise, remove, scope
 
 
 def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame, str], DataFrame], group: str) -> DataFrame:
@@ -25,12 +25,13 @@ def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame, str], DataFrame
     The operator sees a key of the row's own in place of the id, so rows that repeat an id, or have none, are told
     apart. The keys are written, as a second evaluation need not number the rows alike.
     """
-    keyed = materialise(docs.withColumn("row__", F.monotonically_increasing_id()), "rows")
-    groups = operator(keyed, "row__").select(F.col("doc_id").alias("row__"), F.col(group).alias("group__"))
-    own = keyed.select("row__", F.col("doc_id").cast("long").alias("id__"))
-    first = F.min(F.struct(F.col("id__").isNull().alias("none"), "id__", "row__")).alias("first__")
-    chosen = groups.join(own, "row__").groupBy("group__").agg(first).select(F.col("first__.row__").alias("row__"))
-    return keyed.join(chosen, "row__", "left_semi").select(*docs.columns)
+    row, other, key = (free_name(docs, n) for n in ("row", "id", "group"))
+    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = operator(keyed, row).select(F.col("doc_id").alias(row), F.col(group).alias(key))
+    own = keyed.select(row, F.col("doc_id").cast("long").alias(other))
+    first = F.min(F.struct(F.col(other).isNull().alias("none"), other, row)).alias("first")
+    chosen = groups.join(own, row).groupBy(key).agg(first).select(F.col(f"first.{row}").alias(row))
+    return keyed.join(chosen, row, "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source takes it: not at all, once, or up to three times."""
-    m = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("mixed_id__"), F.expr("CAST(taken div size AS int)").alias("times__")).distinct()
-    taken = docs.join(m, F.col("doc_id").eqNullSafe(F.col("mixed_id__")))
-    return taken.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times__")))).select(*[docs[c] for c in docs.columns])
+    return mixing.repeated(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +69,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):  # what a stage wrote on its way goes with it, its input once it is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
