@@ -1,10 +1,11 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
 Templates are token sets ordered from globally rarest to most frequent token; the frequencies are counted over the
-whole corpus. A block that holds at least the share ``THRESHOLD`` of a template's tokens must hold one of the first
-``n - ceil(t n) + 1`` of them (prefix filter), must have at least ``ceil(t n)`` tokens (length filter), and the
-position of its first hit bounds what it can still reach (positional filter). The few blocks that pass are verified
-on full token sets, so the join is exact. Blocks are windows of twice the longest template, half overlapping: any
+whole corpus. A block's tokens are put in the same order, those of no template left out. A block that holds at least
+the share ``THRESHOLD`` of a template's tokens must hold one of the first ``n - ceil(t n) + 1`` of them (prefix
+filter) and have at least ``ceil(t n)`` tokens (length filter). The first token that both share stands somewhere in
+both orders, and no more can be shared than the shorter of the two rests from there on (positional filter). The few
+blocks that pass are verified on full token sets, so the join is exact. Blocks are windows of twice the longest template, half overlapping: any
 run of words no longer than half a window lies whole in one of them, however its lines are wrapped.
 """
 
@@ -63,18 +64,23 @@ class TemplateJoin:
 
     def __init__(self, frequency: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD):
         self.templates, self.index = [], {}
+        vocabulary = {t for _, text in templates for t in text.split()}
+        #: Place of every template token in the global order.
+        self.rank = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t)))}
+        self.rejected = Counter()
         longest = 0
         for label, text in templates:
             longest = max(longest, len(text.split()))
-            tokens = sorted(set(text.split()), key=lambda t: (frequency.get(t, 0), t))
+            tokens = sorted(set(text.split()), key=self.rank.__getitem__)
             need = ceil(threshold * len(tokens))
             k = len(self.templates)
-            self.templates.append((label, tokens, need))
+            self.templates.append((label, frozenset(tokens), need))
             for position, t in enumerate(tokens[: len(tokens) - need + 1]):
                 self.index.setdefault(t, []).append((k, position))
         self.step = longest
         #: Without one of these words no block of a document can pass.
         self.any_prefix = frozenset(self.index)
+        self.any_token = frozenset(self.rank)
 
     def join(self, w: list[str]) -> list[tuple[str, float, int]]:
         """``(label, containment, start of the block)`` of each template and block that meet the threshold."""
@@ -82,18 +88,26 @@ class TemplateJoin:
             return []
         out = []
         for start in range(0, max(1, len(w) - self.step), self.step):
-            block = set(w[start : start + 2 * self.step])
-            first: dict[int, int] = {}
-            for t in self.any_prefix & block:
-                for k, position in self.index[t]:
-                    first[k] = min(position, first.get(k, position))
-            for k, position in sorted(first.items()):
+            words = w[start : start + 2 * self.step]
+            if self.any_prefix.isdisjoint(words):
+                continue
+            block = sorted(self.any_token.intersection(words), key=self.rank.__getitem__)
+            first: dict[int, tuple[int, int]] = {}  # positions of the first shared token, in the template and in the block
+            for at, t in enumerate(block):
+                for k, position in self.index.get(t, ()):
+                    first.setdefault(k, (position, at))
+            for k, (position, at) in sorted(first.items()):
                 label, tokens, need = self.templates[k]
-                if len(block) < need or len(tokens) - position < need:
-                    continue
-                found = sum(t in block for t in tokens[position:])
-                if found >= need:
-                    out.append((label, found / len(tokens), start))
+                if len(block) < need:
+                    self.rejected["length"] += 1
+                elif min(len(tokens) - position, len(block) - at) < need:
+                    self.rejected["position"] += 1
+                else:
+                    found = len(tokens.intersection(block))
+                    if found >= need:
+                        out.append((label, found / len(tokens), start))
+                    else:
+                        self.rejected["verified"] += 1
         return out
 
 
@@ -138,3 +152,29 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield out.take()
 
     return map_arrow(base, scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")
+
+
+def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for ``license_scan``: every block beside every template, counted in full."""
+    sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    step = max(len(text.split()) for _, text in templates)
+    listed = ", ".join(f"('{label}', {tokens}, {ceil(threshold * len(tokens))})" for label, tokens in sets)
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, rid, '{label}' AS label, i - 1 AS pos FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE " + " AND ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(phrase.split())) for label, phrase in PHRASES.items()
+    )
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+p AS ({places}),
+h AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM p GROUP BY rid),
+t AS (SELECT * FROM (VALUES {listed}) AS t(label, tokens, need)),
+b AS (SELECT rid, list_distinct(w[start + 1 : start + {2 * step}]) AS block FROM d, unnest(range(0, greatest(1, len(w) - {step}), {step})) AS u(start)),
+m AS (SELECT rid, label, len(list_intersect(tokens, block)) AS found, need, len(tokens) AS n FROM b, t WHERE len(list_intersect(tokens, block)) >= need),
+j AS (SELECT rid, count(*) AS n_blocks, max(found / n) AS best, list(DISTINCT label) AS labels FROM m GROUP BY rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(h.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(h.labels, []), coalesce(j.labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM d LEFT JOIN h USING (rid) LEFT JOIN j USING (rid)
+"""

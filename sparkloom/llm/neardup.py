@@ -344,3 +344,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.join(place, "fp", "left")
     comp = F.when(F.col("n") > 0, F.when(F.col("did").isNotNull(), F.col("comp"))).otherwise(F.col("did"))
     return out.select(F.col("did").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("did").eqNullSafe(comp).alias("kept"))
+
+
+#: Sets of shingles as text; all pairs that share one are counted, then components by repeated least neighbours.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS size FROM h),
+x AS (SELECT doc_id, unnest(s) AS shingle FROM h),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 85 * (na.size + nb.size - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS node, doc_id AS least FROM n UNION SELECT e.b, reach.least FROM reach JOIN e ON e.a = reach.node WHERE reach.least < e.b),
+k AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(size AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN k ON node = doc_id
+"""

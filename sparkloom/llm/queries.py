@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_license_scan, op2_language_id, op3_token_files, op4_exact_dedup, op5_html_extraction, op6_nearest_neighbours, op7_substring_dedup, op8_source_mix, op9_near_dedup, op10_sentencepiece)
 }
-ORACLE: dict[str, str] = {"op4_exact_dedup": exact.ORACLE, "op8_source_mix": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op4_exact_dedup": exact.ORACLE, "op7_substring_dedup": substring.ORACLE, "op8_source_mix": mixing.ORACLE, "op9_near_dedup": neardup.ORACLE}

@@ -239,3 +239,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+#: Windows as lists of words; a window whose list starts earlier somewhere covers words that go.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i AS start, array_to_string(w[i : i + 19], ' ') AS win FROM d, unnest(range(1, len(w) - 18)) AS u(i)),
+r AS (SELECT doc_id, start FROM s QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, start) > 1),
+g AS (SELECT DISTINCT doc_id, start + k AS pos FROM r, unnest(range(0, 20)) AS u(k)),
+e AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN n > 0 THEN list_filter(w, lambda x, i: NOT list_contains(gone, i)) ELSE w END, ' ')) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id)
+"""
