@@ -13,6 +13,7 @@ and next to the run's. An element without most of the content, such as a teaser,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -61,6 +62,9 @@ class Blocks(HTMLParser):
         self._tags = self._linked = self._link_chars = 0
         self._in_link = False
         self._state = (False, False, 0, 0, 0, "")
+        #: How many of each element are open; those of inline ones since every open block. They spare vain walks.
+        self._open_now: Counter[str] = Counter()
+        self._inline: list[Counter[str]] = [Counter()]
 
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self._text)).strip()
@@ -86,15 +90,29 @@ class Blocks(HTMLParser):
             self.outermost[new] = self.outermost[container] or (new if whole else self._parts.setdefault(element, new))
             container = new
         self.path.append((tag, *self._state))
-        if tag not in INLINE:
+        self._open_now[tag] += 1
+        if tag in INLINE:
+            self._inline[-1][tag] += 1
+        else:
+            self._inline.append(Counter())
             self.elements += 1
             element, home, name = self.elements, element, tag
         self._state = (silent, bad, container, element, home, name)
 
+    def _cut(self, k: int) -> None:
+        for tag, *_ in self.path[k:]:
+            self._open_now[tag] -= 1
+        for tag, *_ in reversed(self.path[k:]):
+            if tag in INLINE:
+                self._inline[-1][tag] -= 1
+            else:
+                self._inline.pop()
+        del self.path[k:]
+
     def _close_to(self, k: int) -> None:
         self.flush()
         self._state = self.path[k][1:]
-        del self.path[k:]
+        self._cut(k)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self._state[0] and tag not in ("body", "p", "div", "article", "main"):
@@ -117,7 +135,7 @@ class Blocks(HTMLParser):
             return
         self.flush()
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        for k in range(len(self.path) - 1, -1, -1):
+        for k in range(len(self.path) - 1, -1, -1) if any(self._open_now[t] for t in ends) else ():
             t = self.path[k][0]
             if t in ends:
                 self._close_to(k)
@@ -139,6 +157,8 @@ class Blocks(HTMLParser):
             self._tags += 1
             if tag == "a":
                 self._in_link = False
+        if not (self._inline[-1] if tag in INLINE else self._open_now)[tag]:
+            return
         for k in range(len(self.path) - 1, -1, -1):
             if self.path[k][0] == tag:
                 if tag in INLINE:
@@ -146,7 +166,7 @@ class Blocks(HTMLParser):
                     if state != self._state:
                         self.flush()
                     self._state = state
-                    del self.path[k:]
+                    self._cut(k)
                 else:
                     self._close_to(k)
                 return
@@ -219,7 +239,14 @@ def _runs(lines: list[tuple], content: list[int]) -> list[list[int]]:
 
 
 def _grown(lines: list[tuple], root: dict[int, int], first: int, last: int) -> tuple[int, int]:
-    """The run with the unmarked lines at its ends, such as headings and short paragraphs; lines of links end it."""
+    """The run with the unmarked lines at its ends, such as headings and short paragraphs.
+
+    Lines of links end it, also those beside the text that smoothing has raised over the threshold.
+    """
+    while first < last and lines[first][6] and lines[first][5] not in HEADINGS:
+        first += 1
+    while first < last and lines[last][6] and lines[last][5] not in HEADINGS:
+        last -= 1
     free = lambda i: root.get(i) == 0 and (not lines[i][6] or lines[i][5] in HEADINGS)
     while first and free(first - 1):
         first -= 1

@@ -149,6 +149,54 @@ def test_content_lines_decide_between_marked_and_unmarked_text():
     assert len(got) == 8 and got[0] == "A title" and got[-1] == "Short."
 
 
+def test_the_threshold_decides_what_is_content(monkeypatch):
+    """Many short lines or few long ones: the threshold alone tells which are the text."""
+    links = "".join(f"<div><a href='/{i}'>Link {i}</a></div>" for i in range(8))
+    para = [f"Paragraph {i} " + "with some words of the article " * 12 for i in range(6)]
+    ticks = "".join(f"<div>Tick no. {i} of many</div>" for i in range(300))
+    box = "<div class='related'><ul>" + "<li><a href='/r'>Another story</a>" * 12 + "</ul></div>"
+    page = f"<body><section>{ticks}</section>{box}<section>{links}{''.join(f'<p>{x}</p>' for x in para)}{links}</section></body>"
+    want = "\n".join(x.strip() for x in para)
+    assert html.main_text(page) == want  # though the short lines together are longer
+    monkeypatch.setattr(html, "threshold", lambda _: -1.0)
+    assert html.main_text(page).startswith("Tick no. 0 of many\nTick no. 1") and "Paragraph" not in html.main_text(page)
+
+
+def test_smoothing_and_threshold_against_plain_loops():
+    """Lines of real pages: the Gaussian as a weighted mean, the threshold as the fixed point between two means."""
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist()[:60]:
+        p = html.Blocks()
+        p.feed(page)
+        p.close()
+        p.flush()
+        x = [0.0 if b[3] else float(np.log1p(b[1])) for b in p.blocks]
+        flat = []
+        for i in range(len(x)):
+            near = [j for j in range(len(x)) if abs(i - j) <= 3 * html.SIGMA]
+            g = [np.exp(-((i - j) ** 2) / (2 * html.SIGMA**2)) for j in near]
+            flat.append(sum(a * x[j] for a, j in zip(g, near, strict=True)) / sum(g))
+        assert np.allclose(flat, html.smooth(np.array(x)))
+        t = html.threshold(np.array(flat))
+        hi, lo = [v for v in flat if v >= t], [v for v in flat if v < t]
+        assert not lo or abs(t - (sum(hi) / len(hi) + sum(lo) / len(lo)) / 2) < 1e-6
+
+
+def test_end_tags_without_a_partner_cost_no_walk():
+    """Time in proportion to the page, whatever is left open."""
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        html.main_text("<p>" + "<font size=1>word </b>" * n)
+        html.main_text("<b><div>" + "<font size=1>" * n + "word</b>" * n)
+        html.main_text("<div>" * n + "<li>x</li>" * n)
+        return time.process_time() - t
+
+    assert seconds(16_000) < 20 * max(seconds(2000), 0.02)
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE.format(f"<article>{BODY}</article>")), (2, None, None), (3, "u", ""), (1, "u", PAGE.format(f"<article>{BODY}</article>")), (None, "z", "<p>x</p>" + "<div>" * 3000), (5, "w", "<article>" + "<p>" + "long " * 50_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("c")})
