@@ -47,14 +47,14 @@ class Encoder:
         self.at: dict[int, int] = {}
         self._codes = np.empty(0, np.int64)
         self._places = np.empty(0, np.int64)
-        self._table = np.empty((1024, self.dimensions), np.float32)
+        self._table = np.empty((1024, self.dimensions), np.int8)  # ones and minus ones
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self._letter:
             bits = np.random.default_rng([self.seed, code]).integers(0, 2, self.dimensions, dtype=np.int8)
             if len(self._letter) > 20_000:
                 self._letter.clear()
-            self._letter[code] = (2 * bits - 1).astype(np.float32)
+            self._letter[code] = 2 * bits - 1
         return self._letter[code]
 
     def trigrams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ class Encoder:
             self._clear()
         need = len(self.at) + len(codes)
         if need > len(self._table):
-            grown = np.empty((max(need, 2 * len(self._table)), self.dimensions), np.float32)
+            grown = np.empty((max(need, 2 * len(self._table)), self.dimensions), np.int8)
             grown[: len(self.at)] = self._table[: len(self.at)]
             self._table = grown
         for g in codes.tolist():
@@ -102,7 +102,7 @@ class Encoder:
                 if lost.any():  # the table was cleared
                     self._add(part[lost])
                     at = np.searchsorted(self._codes, part)
-            total += n.astype(np.float32) @ self._table[self._places[at]]
+            total += n.astype(np.float32) @ self._table[self._places[at]].astype(np.float32)
         return total
 
 
