@@ -59,8 +59,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether they decode to its text."""
-    return pieces.encode_documents(docs, tokenizer(PIECES)).select("doc_id", "ids", "n_tokens", "round_trip")
+    """Ids of every document, whether they decode to its text, and the ids and score of its best path."""
+    return pieces.encode_documents(docs, tokenizer(PIECES)).select("doc_id", "ids", "n_tokens", "round_trip", "best_ids", "best_score")
 
 
 STAGES = [("language", language_stage), ("exact", exact_stage), ("near", near_stage), ("mix", mix_stage), ("pieces", pieces_stage)]
