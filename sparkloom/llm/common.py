@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -112,10 +114,23 @@ def ship(spark: SparkSession) -> None:
     sc._sparkloom_shipped = True
 
 
+def give_back() -> None:
+    """Return a finished task's memory to the system: the worker process lives on, idle or for other work."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """``mapInArrow`` on workers that have this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 class TwoGenerations(dict):
@@ -132,13 +147,17 @@ class TwoGenerations(dict):
             self[key] = got
         return got
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def tidy(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
 
-def in_groups(items: Iterable[tuple], limit: int = 1 << 21) -> Iterator[list[tuple]]:
+def in_groups(items: Iterable[tuple], limit: int = 1 << 19) -> Iterator[list[tuple]]:
     """Rows in lists of about *limit* characters of their second value."""
     chunk, size = [], 0
     for x in items:

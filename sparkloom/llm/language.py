@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import map_arrow, rows, ship, text_of
+from sparkloom.llm.common import give_back, map_arrow, rows, ship, text_of
 
 DIMENSIONS = 1024
 SEED = 0x5EED
@@ -165,6 +165,7 @@ def label(text: Column, model: LanguageModel) -> Column:
                 langs.append(lang)
                 scores.append(score)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        give_back()
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)
 

@@ -29,8 +29,6 @@ from sparkloom.workspace import materialise
 CHUNK_CHARS = 1 << 16
 #: Transfer matrices that one task multiplies.
 FAN = 64
-#: Characters whose units are looked up together.
-GROUP = 1 << 19
 #: Units that a worker keeps at hand (twice as many at most).
 MOST_KEPT = 150_000
 NONE = -np.inf
@@ -455,12 +453,13 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def encode_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out = piece_encoder(model_path), Out(whole)
-        for some in in_groups(rows(batches), GROUP):
+        for some in in_groups(rows(batches)):
             best: list[tuple[bytes, float]] = []
             for (doc_id, text), ids, path in zip(some, encoder.encode_texts([t for _, t in some], best), best, strict=True):
                 if out.add((doc_id, ids, encoder.decode(ids) == (text or ""), *path), len(ids)):
                     yield out.take()
         yield out.take()
+        encoder.kept.forget()
 
     def cut_giants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
