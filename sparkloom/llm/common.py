@@ -101,6 +101,9 @@ def with_totals(rows: DataFrame, keys: list[str], spread: str, aggregates: dict[
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver found it; once per Spark context."""
     sc = spark.sparkContext
+    # Batches of texts go through the memory of both processes; ten thousand long ones are too many at once.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if getattr(sc, "_sparkloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
