@@ -58,10 +58,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Text in an Arrow batch, where nobody has set another size; one longer text is a batch of its own.
+BATCH_BYTES = 2 << 20
+
+
 class Out:
     """Collects rows and yields record batches of bounded size."""
 
-    def __init__(self, schema: pa.Schema, limit: int = 20_000, limit_bytes: int = 8 << 20):
+    def __init__(self, schema: pa.Schema, limit: int = 20_000, limit_bytes: int = 1 << 20):
         self.schema, self.limit, self.limit_bytes = schema, limit, limit_bytes
         self._rows: list[tuple] = []
         self._bytes = 0
@@ -102,8 +106,10 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver found it; once per Spark context."""
     sc = spark.sparkContext
     # Batches of texts go through the memory of both processes; ten thousand long ones are too many at once.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for what, default, ours in (("Records", "10000", "2000"), ("Bytes", "67108864", str(BATCH_BYTES))):
+        name = f"spark.sql.execution.arrow.max{what}PerBatch"
+        if spark.conf.get(name, default).lower().removesuffix("b") == default:
+            spark.conf.set(name, ours)
     if getattr(sc, "_sparkloom_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -120,6 +126,7 @@ def ship(spark: SparkSession) -> None:
 def give_back() -> None:
     """Return a finished task's memory to the system: the worker process lives on, idle or for other work."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
