@@ -22,16 +22,28 @@ from sparkloom.workspace import fresh_path, materialise, remove, scope
 def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame, str], DataFrame], group: str) -> DataFrame:
     """One row, with all its columns, of each group that *operator* finds: that of the smallest id, null ids last.
 
-    The operator sees a key of the row's own in place of the id, so rows that repeat an id, or have none, are told
-    apart. The keys are written, as a second evaluation need not number the rows alike.
+    Where every row has an id of its own, that of the group's smallest tells the row, and no text is written. Otherwise
+    the operator sees a key of the row's own in place of the id, so rows that repeat an id, or have none, are told
+    apart; those keys are written with the rows, as a second evaluation need not number the rows alike. What the operator
+    wrote goes as soon as the chosen rows are known.
     """
-    row, other, key = (free_name(docs, n) for n in ("row", "id", "group"))
+    spark = docs.sparkSession
+    own, row, other, key = (free_name(docs, n) for n in ("own", "row", "id", "group"))
+    path = fresh_path(spark, "chosen")
+    ids = docs.select(F.col("doc_id").cast("long").alias(own))
+    n, held, distinct = ids.agg(F.count(F.lit(1)), F.count(own), F.count_distinct(own)).first()
+    if n == held == distinct:
+        keyed = docs.withColumn(own, F.col("doc_id").cast("long"))
+        with scope(spark):
+            operator(docs, "doc_id").filter(F.col("doc_id") == F.col(group)).select(F.col("doc_id").alias(own)).write.parquet(path)
+        return keyed.join(spark.read.parquet(path), own, "left_semi").select(*docs.columns)
     keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = operator(keyed, row).select(F.col("doc_id").alias(row), F.col(group).alias(key))
-    own = keyed.select(row, F.col("doc_id").cast("long").alias(other))
-    first = F.min(F.struct(F.col(other).isNull().alias("none"), other, row)).alias("first")
-    chosen = groups.join(own, row).groupBy(key).agg(first).select(F.col(f"first.{row}").alias(row))
-    return keyed.join(chosen, row, "left_semi").select(*docs.columns)
+    with scope(spark):
+        groups = operator(keyed, row).select(F.col("doc_id").alias(row), F.col(group).alias(key))
+        named = keyed.select(row, F.col("doc_id").cast("long").alias(other))
+        first = F.min(F.struct(F.col(other).isNull().alias("none"), other, row)).alias("first")
+        groups.join(named, row).groupBy(key).agg(first).select(F.col(f"first.{row}").alias(row)).write.parquet(path)
+    return keyed.join(spark.read.parquet(path), row, "left_semi").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """The pipeline's stages one by one against the straightforward versions, and the whole of it."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 import brute
 import numpy as np
 import pytest
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import language, mixing, neardup, queries
+from sparkloom.workspace import shared_dir
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -86,6 +90,15 @@ def test_dedup_stages_keep_one_row_of_each_group_with_repeated_and_null_ids(spar
     assert out == sorted([(4, a), (None, b), (3, c), (8, d)], key=str)
 
 
+def test_dedup_stages_leave_no_texts_where_ids_are_unique(spark, docs):
+    """Once a stage's result is there, the shared folder has only the ids that it chose, and no copy of the table."""
+    folder = Path(urlparse(shared_dir(spark)).path)
+    for name in ("exact", "near"):
+        before = set(folder.iterdir())
+        assert STAGES[name](spark, docs, SF).count() > 100
+        assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["chosen"], name
+
+
 def test_mix_stage_judges_each_row_by_its_own_source(spark, docs):
     """An id in two sources, rows that repeat, null ids and sources, columns with the names used inside."""
     words = " ".join(["w"] * 40)
