@@ -40,8 +40,6 @@ MISS = 1e-5  # how likely a pair at the threshold may meet in no band
 SMALL = 16
 BLOCK, BLOCK_VALUES = 512, 1_000_000
 COLUMNS = 4096
-#: Counters of shingle frequencies, however many shingles there are; they only set an order.
-SKETCH_BITS = 17
 #: Pairs of one document beyond which its set is sent to more tasks than one.
 FAN = 512
 _EDGES = np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -217,31 +215,38 @@ def _bridges(pairs: np.ndarray) -> np.ndarray:
 def _prefixes(held: DataFrame, threshold: int) -> DataFrame:
     """``(rep, comp, s)`` → ``(token, rep, comp, size, pos)``: the first tokens of each set, rarest first.
 
-    Any order that is the same for all sets makes the filter exact; counters of a fixed number, which tokens share,
-    keep what is in many sets out of the prefixes.
+    Any order that is the same for all sets makes the filter exact. Tokens are counted one by one, as counters that
+    tokens share fill up with the table: then what many sets hold gets into the prefixes, and clusters run together.
     """
-    shift = np.uint64(64 - SKETCH_BITS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SKETCH_BITS, np.int64)
-        for (s,) in rows(batches):
-            seen += np.bincount((np.frombuffer(s, np.uint64) >> shift).astype(np.int64), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["i", "n"])
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                values = [np.frombuffer(s, np.int64) for s in b.column(1).to_pylist()]
+                owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(owner)], names=["token", "rep"])
 
-    found = map_arrow(held.select("s"), count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(1 << SKETCH_BITS, np.int64)
-    often[found.column("i").to_numpy()] = found.column("n").to_numpy()
+    counted = with_totals(map_arrow(held.select("rep", "s"), spread, "token long, rep long"), ["token"], "rep")  # in one set: no row
+    often = counted.groupBy("rep").agg(F.collect_list(F.struct("token", "n")).alias("often"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, comp, s in rows(batches):
-            s = np.frombuffer(s, np.uint64)
-            n = len(s) + (-threshold * len(s) // 100) + 1  # all but the number that must be shared, and one
-            first = s[np.lexsort((s, often[(s >> shift).astype(np.int64)]))[:n]]
-            same = lambda x, t: pa.array(np.full(n, x), t)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), same(rep, pa.int64()), same(comp, pa.int64()), same(len(s), pa.int64()), pa.array(np.arange(n, dtype=np.int32))], names=["token", "rep", "comp", "size", "pos"])
-
-    return map_arrow(held.select("rep", "comp", "s"), cut, "token long, rep long, comp long, size long, pos int")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rep, comp, s, tokens, counts = (c[i] for c in batch.columns)
+                s = np.frombuffer(s.as_py(), np.uint64)
+                times = np.ones(len(s), np.int64)
+                if tokens.is_valid:
+                    t, c = (x.values.to_numpy(zero_copy_only=False) for x in (tokens, counts))
+                    at = np.minimum(np.searchsorted(s, t.view(np.uint64)), len(s) - 1)
+                    own = s[at] == t.view(np.uint64)  # not those of another set under the same id
+                    times[at[own]] = c[own]
+                n = len(s) + (-threshold * len(s) // 100) + 1  # all but the number that must be shared, and one
+                first = s[np.lexsort((s, times))[:n]]
+                same = lambda x, t: pa.array(np.full(n, x), t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), same(rep.as_py(), pa.int64()), same(comp.as_py(), pa.int64()), same(len(s), pa.int64()), pa.array(np.arange(n, dtype=np.int32))], names=["token", "rep", "comp", "size", "pos"])
+
+    ranked = held.join(often, "rep", "left").select("rep", "comp", "s", F.col("often.token").alias("tokens"), F.col("often.n").alias("counts"))
+    return map_arrow(ranked, cut, "token long, rep long, comp long, size long, pos int")
 
 
 def _rest(apart: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:

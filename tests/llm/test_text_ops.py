@@ -185,6 +185,20 @@ def test_near_dedup_of_chains_and_large_groups(spark):
     assert got == brute.near(rows)
 
 
+def test_prefixes_leave_out_what_many_sets_hold_whatever_the_hashes(spark):
+    """Rare tokens that lie close together, as the many tokens of a large table do, still come before frequent ones."""
+    often = np.arange(1, 21, dtype=np.uint64) << np.uint64(58)  # in all sets, far from each other
+    sets = [np.concatenate([np.arange(80, dtype=np.uint64) + np.uint64(1 + 80 * i), often]) for i in range(40)]
+    sets.append(np.concatenate([sets[0][:79], often]))
+    held = spark.createDataFrame([(i, i, s.tobytes()) for i, s in enumerate(sets)], "rep long, comp long, s binary")
+    got = {}
+    for r in neardup._prefixes(held, 85).collect():
+        got.setdefault(r.rep, {})[r.pos] = r.token
+    assert got.keys() == set(range(41)) and all(sorted(p) == list(range(len(s) - -(-85 * len(s) // 100) + 1)) for p, s in zip((got[i] for i in range(41)), sets, strict=True))
+    assert all({*p.values()}.isdisjoint(often.tolist()) and {*p.values()} <= {*sets[i].tolist()} for i, p in got.items())
+    assert {*got[0].values()} & {*got[40].values()}  # the two that are alike meet
+
+
 @pytest.mark.parametrize("small", [2, 16])
 def test_near_dedup_of_pages_from_one_template(spark, monkeypatch, small):
     """What most pages share alone is not compared; pairs among them are found, by rare tokens and by frequent ones."""
