@@ -123,9 +123,20 @@ def ship(spark: SparkSession) -> None:
     sc._sparkloom_shipped = True
 
 
+_settled = False
+
+
 def give_back() -> None:
-    """Return a finished task's memory to the system: the worker process lives on, idle or for other work."""
+    """Return a finished task's memory to the system: the worker process lives on, idle or for other work.
+
+    What a worker's first task leaves, its imports above all, is not searched for garbage again: that search takes some
+    30 ms, which is much of a short task.
+    """
+    global _settled
     gc.collect()
+    if not _settled:
+        gc.freeze()
+        _settled = True
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

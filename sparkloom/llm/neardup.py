@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import in_groups, map_arrow, rows, ship, with_totals
-from sparkloom.llm.graph import components
+from sparkloom.llm.graph import Joined, components
 from sparkloom.llm.hashing import BASES, mix, run_hashes, word_hashes
 from sparkloom.workspace import materialise
 
@@ -131,10 +131,12 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int)
     """``(hub, b)`` → ``(a, b)``, a < b, of those whose full sets meet the threshold.
 
     A hub may have any number of pairs: they are dealt in parts of about FAN, and each part has a copy of its set.
+    Hubs of more than one part are few, one for FAN pairs at most, so every task has their list. *pairs* are written.
     """
-    sized = with_totals(pairs.select("hub", "b"), ["hub"], "b", kept="true").withColumn("parts", F.ceil(F.col("n") / FAN).cast("int"))
-    sized = materialise(sized.select("hub", "b", "parts", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")), "pairs")
-    hubs = sized.select("hub", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).distinct()
+    counted = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
+    sized = pairs.select("hub", "b").join(F.broadcast(counted.filter("parts > 1")), "hub", "left")
+    sized = sized.select("hub", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts").cast("int"), F.lit(0)).alias("part"))
+    hubs = counted.select("hub", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     side = lambda x: nodes.select(F.col("rep").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,20 +198,8 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _bridges(pairs: np.ndarray) -> np.ndarray:
     """Indices of those pairs of components that join what was apart until then."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(pairs.tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, np.int64)
+    up = Joined()
+    return np.array([i for i, (x, y) in enumerate(pairs.tolist()) if up.join(x, y)], np.int64)
 
 
 def _prefixes(held: DataFrame, threshold: int) -> DataFrame:
@@ -257,8 +247,9 @@ def _rest(apart: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame,
     in clusters (tokens that share a member are one), each is cut into blocks of bounded size, and every two blocks
     meet in one task, which compares full sets and gives back only links between components, one for each join.
     """
-    members = apart.filter(F.col("n") > SMALL).select("rep", "comp").distinct().join(sets, "rep")
-    tokens = materialise(with_totals(_prefixes(materialise(members, "members"), threshold), ["token"], "rep", _span(), "lo <> hi"), "prefixes")
+    members = apart.filter(F.col("n") > SMALL).groupBy("rep").agg(F.min("comp").alias("comp")).join(sets, "rep")
+    cut = materialise(_prefixes(materialise(members, "members"), threshold), "tokens")  # read twice
+    tokens = materialise(with_totals(cut, ["token"], "rep", _span(), "lo <> hi"), "prefixes")
     pairs = None
     for rows_, key, extra in ((apart, "key", ()), (tokens, "token", ("size", "pos"))):
         some = rows_.filter(F.col("n") <= SMALL)
@@ -271,16 +262,18 @@ def _rest(apart: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame,
         met = met.select(F.col("rep_x").alias("hub"), F.col("rep_y").alias("b"))
         pairs = met if pairs is None else pairs.unionByName(met)
 
-    large = tokens.filter(F.col("n") > SMALL).select(F.col("token").alias("key"), "rep", "comp")
+    large = tokens.filter(F.col("n") > SMALL).select(F.col("token").alias("key"), "rep", "comp", "size")
     heads = large.groupBy("key").agg(F.min("rep").alias("head"))
-    cluster = materialise(components(large.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b"))), "clusters")
+    met = materialise(large.join(heads, "key").select(F.col("rep").alias("a"), F.col("head").alias("b")), "edges")
+    cluster = materialise(components(met), "clusters")
     in_cluster = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cl"))
 
-    held = large.select("rep", "comp").distinct().join(in_cluster, "rep").join(sets.withColumn("size", F.octet_length("s") / 8), "rep")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_VALUES)).cast("int")
-    blocks = held.groupBy("cl").agg(parts.alias("parts"))
-    dealt = held.join(blocks, "cl").withColumn("i", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("cl", "rep", "comp", "s", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i")
+    # A cluster may hold most of the table: it is dealt before the sets come to its members.
+    own = large.groupBy("rep").agg(F.min("comp").alias("comp"), F.max("size").alias("size")).join(in_cluster, "rep")
+    own = with_totals(own, ["cl"], "rep", {"values": (F.sum("size"), F.sum("values"))}, "true")
+    own = own.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int"))
+    dealt = own.withColumn("i", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("j", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("cl", "rep", "comp", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i").join(sets, "rep")
     ship(apart.sparkSession)
 
     def compare(t: pa.Table) -> pa.Table:
@@ -339,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs, sure = _rest(apart, sets, threshold)
             links = links.unionByName(materialise(sure, "links"))
         both = lambda p: p.withColumns({"low": F.least("hub", "b"), "high": F.greatest("hub", "b")})
-        fresh = both(pairs.distinct()).dropDuplicates(["low", "high"]).join(both(tested).select("low", "high"), ["low", "high"], "left_anti")
+        fresh = both(pairs).dropDuplicates(["low", "high"]).join(both(tested).select("low", "high"), ["low", "high"], "left_anti")
         fresh = materialise(fresh.select("hub", "b"), "pairs")
         links = links.unionByName(materialise(_links(fresh, nodes, sets, threshold), "links"))
         labels = materialise(components(links), "labels")

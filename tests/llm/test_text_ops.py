@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import exact, language, licenses, mixing, neardup, pieces, queries, substring, tokenfile
+from sparkloom.llm import common, exact, graph, language, licenses, mixing, neardup, pieces, queries, substring, tokenfile
 from sparkloom.llm.common import WORD as WORD_PATTERN
 
 SF = "/root/testdata/sf0.01"
@@ -219,6 +219,85 @@ def test_near_dedup_of_pages_from_one_template(spark, monkeypatch, small):
     assert sum(met) < len(rows) * len(rows) / 8, met
 
 
+@pytest.mark.parametrize("most", [0, 150, 1 << 16])
+def test_components(spark, monkeypatch, most):
+    """By rounds to the end, by some rounds and one task, and by one task alone, which writes no tables on its way."""
+    monkeypatch.setattr(graph, "ONE_TASK", most, raising=False)
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (written.append(name), write(df, name))[1])
+    rng = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 240)] + [tuple(p) for p in rng.integers(300, 400, (80, 2)).tolist()]
+    edges = [*edges, *((b, a) for a, b in edges[::3]), (7, 7), (-(2**63), 2**63 - 1)]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert most < len(edges) or not written
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_near_dedup_of_small_tables_takes_few_tasks(spark):
+    """Where tasks are many and small, rounds and shuffles are what takes the time."""
+    rng = np.random.default_rng(6)
+    words = [f"v{i}" for i in range(400)]
+    rows = []
+    for _ in range(3):
+        base = list(rng.choice(words, 60))
+        for _ in range(30):
+            base[int(rng.integers(0, 60))] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    sc = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup("few", "few")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == brute.near(rows)
+    at = sc.statusTracker()
+    infos = {s: at.getStageInfo(s) for j in at.getJobIdsForGroup("few") for s in at.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in infos.values() if i)
+    assert 100 < tasks < 1600, tasks
+
+
+def test_near_dedup_in_many_parts_and_blocks(spark, monkeypatch):
+    """Hubs of many parts, and a cluster of many blocks: every one has rows of its own, and no link is lost."""
+    monkeypatch.setattr(neardup, "FAN", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(400)]
+    rows = []
+    for n, most in ((90, 3), (60, 9)):  # all near the first, and many that just are not
+        base = list(rng.choice(words, 80))
+        for _ in range(n):
+            v = list(base)
+            for at in rng.integers(0, 80, int(rng.integers(0, most + 1))):
+                v[int(at)] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(v)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.near(rows)
+
+
+def test_memory_is_given_back_without_searching_the_imports_again(monkeypatch):
+    import gc
+
+    monkeypatch.setattr(common, "_settled", False, raising=False)
+    try:
+        common.give_back()
+        assert gc.get_freeze_count() > 10 * len(gc.get_objects())
+    finally:
+        gc.unfreeze()
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
