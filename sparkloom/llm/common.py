@@ -167,12 +167,12 @@ class TwoGenerations(dict):
             self.clear()
 
 
-def in_groups(items: Iterable[tuple], limit: int = 1 << 19) -> Iterator[list[tuple]]:
-    """Rows in lists of about *limit* characters of their second value."""
+def in_groups(items: Iterable[tuple], limit: int = 1 << 19, each: int = 0) -> Iterator[list[tuple]]:
+    """Rows in lists of about *limit* characters of their second value; a row counts as *each* more."""
     chunk, size = [], 0
     for x in items:
         chunk.append(x)
-        size += len(x[1] or "")
+        size += len(x[1] or "") + each
         if size >= limit:
             yield chunk
             chunk, size = [], 0

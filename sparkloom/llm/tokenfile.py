@@ -8,16 +8,18 @@ reads the table, the directory and the frames that its ids lie in; every frame i
 
 from __future__ import annotations
 
+import codecs
 import os
-import re
 import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,27 +30,45 @@ from sparkloom.workspace import fresh_path, materialise
 END_ID = 2
 FRAME_TOKENS = 1 << 17
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-#: Words whose ids a worker keeps at hand (twice as many at most).
+#: Words that are not plain whose ids a worker keeps at hand (twice as many at most).
 MOST_KEPT = 400_000
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
-_TAIL = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Characters of a word that is kept.
+LONGEST_KEPT = 64
+#: Characters of text that are encoded together, where a row counts as some, and words whose ids are gathered at once.
+GROUP_CHARS, ROW_CHARS, GATHERED = 1 << 23, 256, 1 << 16
+_TAIL = r"^([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)$"
+#: Words whose ids the merges alone tell: letters, marks but the apostrophe, letters before marks.
+_PLAIN = r"^(?:[a-zß-öø-ÿ]+[!-&(-/:-@\[-`{-~]*|[!-&(-/:-@\[-`{-~]+)$"
 
 
 class FrameError(ValueError):
     """A frame whose content does not have its checksum."""
 
 
+def _gathered(raw: np.ndarray, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words with these numbers, where *raw* holds every distinct word's in turn, and how many come before each word and the end."""
+    first = np.cumsum(length) - length
+    ends = np.zeros(len(number) + 1, np.int64)
+    np.cumsum(length[number], out=ends[1:])
+    ids = np.empty(ends[-1], "<u4")
+    for at in range(0, len(number), GATHERED):
+        part, to = number[at : at + GATHERED], ends[at : at + GATHERED + 1]
+        ids[to[0] : to[-1]] = raw[np.arange(to[0], to[-1]) + np.repeat(first[part] - to[:-1], length[part])]
+    return ids, ends
+
+
 class WordEncoder:
-    """Whole-text ids of a word-level BPE tokenizer, with each distinct word encoded once.
+    """Whole-text ids of a word-level BPE tokenizer, with each distinct word of a group of texts encoded once.
 
     The tokenizer drops white space before it looks at words, so the ids of a text are those of its words in turn.
-    Texts for which that could differ (not in normal form C, or holding a special token's string in any case) go
-    to the library whole.
+    Texts for which that could differ (not in normal form C, as they are or lower-cased, or holding a special token's
+    string in any case) go to the library whole. Arrow splits the texts and numbers their words; the library encodes
+    the distinct ones in one run, and the texts' ids are gathered by number.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -56,57 +76,82 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # The same merges, for words that are lower-cased, split and written in the alphabet of bytes already.
+        self._merges = Tokenizer.from_file(path)
+        self._merges.normalizer, self._merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        alphabet = [chr(b) if b < 0x80 else "\ufffe" for b in range(256)]  # U+FFFE: no such byte in a plain word
+        for c in range(0x80, 0x100):
+            for byte, letter in zip(chr(c).encode(), by_bytes.pre_tokenize_str(chr(c))[0][0], strict=True):
+                alphabet[byte] = letter
+        self._alphabet = "".join(alphabet)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Letters with marks behind them are two words to the tokenizer; all such are encoded in one run of text."""
-        split = {w: m.groups() for w in words if (m := _TAIL.fullmatch(w))}
-        parts = {p for pair in split.values() for p in pair} | {w for w in words if _LETTERS.fullmatch(w)}
-        single = [p for p in parts if self.kept.fetch(p) is None]
-        if single:
-            (found,) = self.tokenizer.encode_batch_fast([" ".join(single)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(single, ends, strict=True):
-                self.kept[w] = raw[at:end]
-                at = end
-        for w in words:
-            if w in split:
-                self.kept[w] = self.kept[split[w][0]] + self.kept[split[w][1]]
-            elif w not in parts:
-                self.kept[w] = self.whole(w)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters and of words of marks, and where those of each end."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))[0]
+        run, _ = codecs.charmap_decode(joined.as_buffer(), "strict", self._alphabet)
+        ids = np.array(self._merges.encode_batch_fast([run], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError(f"{len(words)} words, {len(ends)} ends of words")
+        return ids, ends
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words; letters with marks behind them are two words to the tokenizer."""
+        lists = pc.split_pattern(pc.replace_substring_regex(words, _TAIL, r"\1 \2"), " ")
+        told = lists.flatten().dictionary_encode()
+        raw, ends = self._merged(told.dictionary)
+        ids, ends = _gathered(raw, np.diff(ends, prepend=0), told.indices.to_numpy())
+        return ids, ends[lists.offsets.to_numpy()[1:]]
+
+    def _other(self, word: str) -> bytes:
+        ids = self.kept.fetch(word)
+        if ids is None:
+            ids = self.whole(word)
+            if len(word) <= LONGEST_KEPT:
+                self.kept[word] = ids
+        return ids
+
+    def _of_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of lower-cased texts."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        told = lists.flatten().dictionary_encode()
+        plain = pc.match_substring_regex(told.dictionary, _PLAIN)
+        self.kept.tidy()
+        others = [self._other(w) for w in told.dictionary.filter(pc.invert(plain)).to_pylist()]
+        is_plain, length = plain.to_numpy(zero_copy_only=False), np.zeros(len(plain), np.int64)
+        raw, length[~is_plain] = np.frombuffer(b"".join(others), "<u4"), np.fromiter(map(len, others), np.int64, len(others)) // 4
+        if is_plain.any():
+            ids, ends = self._plain(told.dictionary.filter(plain))
+            raw, length[is_plain] = np.concatenate((raw, ids)), np.diff(ends, prepend=0)
+        order = np.argsort(is_plain, kind="stable")  # in raw the others come first
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, ends = _gathered(raw, length[order], place[told.indices.to_numpy()])
+        return [ids[lo:hi].tobytes() for lo, hi in pairwise(ends[lists.offsets.to_numpy()].tolist())]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers; none of null."""
         out: list[bytes] = [b""] * len(texts)
-        split: dict[int, list[str]] = {}
+        at: list[int] = []
+        lows: list[str] = []
         for i, text in enumerate(texts):
             if not text:
                 continue
             # Lower-casing character by character knows no final sigma.
-            low = text.replace("Σ", "σ").lower() if text.isascii() or unicodedata.is_normalized("NFC", text) else None
-            # The library looks for special strings before it lower-cases: here no word may become one.
-            if low is None or any(s in low for s in self.specials):
+            low = text.lower() if (ascii_only := text.isascii()) else text.replace("Σ", "σ").lower()
+            # The library looks for special strings before it lower-cases: here no word may become one. It composes
+            # before it lower-cases and not again, but would compose a lower-cased word.
+            if any(s in low for s in self.specials) or not (ascii_only or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
                 out[i] = self.whole(text)
             else:
-                split[i] = low.replace("\n", " ").split(" ")
-        self.kept.tidy()
-        get, lost = self.kept.__getitem__, {}
-        for i, w in split.items():
-            try:
-                out[i] = b"".join(map(get, w))
-            except KeyError:
-                lost[i] = w
-        if lost:
-            fetch = self.kept.fetch
-            new = {x for x in set().union(*lost.values()).difference(self.kept) if fetch(x) is None}
-            if new:
-                self._learn(new)
-            for i, w in lost.items():
-                out[i] = b"".join(map(get, w))
+                at.append(i)
+                lows.append(low)
+        for i, ids in zip(at, self._of_words(lows) if lows else (), strict=True):
+            out[i] = ids
         return out
 
 
@@ -237,7 +282,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         wide = encoder.tokenizer.get_vocab_size() > 65_536 or end_id > 65_535
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
         writer, n_docs, n_tokens, end = None, 0, 0, struct.pack("<I", end_id)
-        for chunk in in_groups(rows(batches)):
+        for chunk in in_groups(rows(batches), GROUP_CHARS, ROW_CHARS):
             writer = writer or TokenFileWriter(path, 4 if wide else 2, frame_tokens)
             for (doc_id, _), ids in zip(chunk, encoder.encode([t for _, t in chunk]), strict=True):
                 writer.add(doc_id, ids + end)

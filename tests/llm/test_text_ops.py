@@ -352,6 +352,33 @@ def test_special_strings_in_any_case_get_the_librarys_ids():
     assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
 
 
+def test_composing_happens_before_lower_casing_and_only_there():
+    """Some capitals with a mark have no composed form while the small letter has one."""
+    encoder = tokenfile.WordEncoder(queries.tokenizer(queries.WORD_BPE))
+    texts = ["J\u030c x", "a H\u0331 b", "T\u0308 W\u030a Y\u030a", "e\u0301", "plain words"]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+
+
+def test_each_distinct_word_is_encoded_once_in_a_group_of_texts(monkeypatch):
+    encoder = tokenfile.WordEncoder(queries.tokenizer(queries.WORD_BPE))
+    odd = ["don't stop, don't", "a\tb\x0bc\r\nd", "naïve (naïve) naïve...", "'s it''s !'s x's", " lead", "trail ", "\n", "|", "2024 a1b2 ###", "日本 語 дом", "x\xa0y \x85 z", "\u2028", "Ünder|über", "end.", "end", "."]
+    assert encoder.encode([*odd, None, ""]) == [*map(encoder.whole, odd), b"", b""]
+    runs, merged = [], encoder._merged
+    monkeypatch.setattr(encoder, "_merged", lambda words: runs.append(words.to_pylist()) or merged(words))
+    texts = [" ".join(f"{'abc'[(i + k) % 3]}{'xyz'[k % 2]}{',' * (k % 5 == 0)}" for k in range(300)) for i in range(40)]
+    want = [encoder.whole(t) for t in texts]
+    assert encoder.encode(texts) == want
+    assert len(runs) == 1 and sorted(runs[0]) == [",", "ax", "ay", "bx", "by", "cx", "cy"]
+    monkeypatch.setattr(tokenfile, "GATHERED", 7)
+    assert encoder.encode(texts) == want
+
+
+def test_long_words_are_not_kept():
+    encoder = tokenfile.WordEncoder(queries.tokenizer(queries.WORD_BPE))
+    text = "don't " + "1" * 1000
+    assert encoder.encode([text]) == [encoder.whole(text)] and set(encoder.kept) == {"don't"}
+
+
 def test_token_file_reads_only_what_it_needs_and_finds_damage(tmp_path):
     uri = f"file://{tmp_path}/x.tok"
     w = tokenfile.TokenFileWriter(uri, 2, frame_tokens=100)
