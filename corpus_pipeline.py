@@ -16,7 +16,28 @@ from pyspark.sql import functions as F
 from sparkloom.llm import exact, language, mixing, neardup, pieces
 from sparkloom.llm.common import free_name, ship
 from sparkloom.llm.queries import PIECES, tokenizer
-from sparkloom.workspace import fresh_path, materialise, remove, scope
+from sparkloom.workspace import brief_shuffles, fresh_path, materialise, remove, scope
+
+#: Bits of the bitmap of rows that go: for each of them, in all at most, and in a piece as Spark's function makes it.
+BITS_EACH, MOST_BITS, PIECE = 32, 1 << 27, 1 << 15
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of *docs* whose *key* is not in *gone*, a written table of one column with that name.
+
+    A bitmap of the hashes of *gone* goes to every task; it has MOST_BITS at most, whatever the table's size. A row whose
+    bit is not set stays where it is. Only the others, what goes and a few by chance, meet the list itself, so a list too
+    long to be broadcast costs no shuffle of all texts.
+    """
+    at, bit, piece, bits = (free_name(docs, n) for n in ("at", "bit", "piece", "bits"))
+    most = min(MOST_BITS, max(PIECE, BITS_EACH * gone.count()))
+    hashed = lambda df: df.withColumn(at, F.pmod(F.xxhash64(key), F.lit(most))).withColumns({piece: F.expr(f"{at} div {PIECE}"), bit: F.col(at) % PIECE})
+    marks = hashed(gone).groupBy(piece).agg(F.bitmap_construct_agg(bit).alias(bits))
+    met = hashed(docs).join(F.broadcast(marks), piece, "left")
+    byte = F.conv(F.hex(F.substring(bits, F.expr(f"cast({bit} div 8 + 1 AS int)"), F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({bit} % 8 AS int))")) != 0, F.lit(False))
+    rest = met.filter(marked).select(*docs.columns).join(gone, key, "left_anti")
+    return met.filter(~marked).select(*docs.columns).unionByName(rest)
 
 
 def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame, str], DataFrame], group: str) -> DataFrame:
@@ -25,7 +46,7 @@ def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame, str], DataFrame
     Where every row has an id of its own, that of the group's smallest tells the row, and no text is written. Otherwise
     the operator sees a key of the row's own in place of the id, so rows that repeat an id, or have none, are told
     apart; those keys are written with the rows, as a second evaluation need not number the rows alike. What the operator
-    wrote goes as soon as the chosen rows are known.
+    wrote goes as soon as the rows that go are known; they are fewer than those that stay in most tables.
     """
     spark = docs.sparkSession
     own, row, other, key = (free_name(docs, n) for n in ("own", "row", "id", "group"))
@@ -33,17 +54,18 @@ def _one_of_each(docs: DataFrame, operator: Callable[[DataFrame, str], DataFrame
     ids = docs.select(F.col("doc_id").cast("long").alias(own))
     n, held, distinct = ids.agg(F.count(F.lit(1)), F.count(own), F.count_distinct(own)).first()
     if n == held == distinct:
-        keyed = docs.withColumn(own, F.col("doc_id").cast("long"))
-        with scope(spark):
-            operator(docs, "doc_id").filter(F.col("doc_id") == F.col(group)).select(F.col("doc_id").alias(own)).write.parquet(path)
-        return keyed.join(spark.read.parquet(path), own, "left_semi").select(*docs.columns)
-    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    with scope(spark):
-        groups = operator(keyed, row).select(F.col("doc_id").alias(row), F.col(group).alias(key))
-        named = keyed.select(row, F.col("doc_id").cast("long").alias(other))
-        first = F.min(F.struct(F.col(other).isNull().alias("none"), other, row)).alias("first")
-        groups.join(named, row).groupBy(key).agg(first).select(F.col(f"first.{row}").alias(row)).write.parquet(path)
-    return keyed.join(spark.read.parquet(path), row, "left_semi").select(*docs.columns)
+        keyed, key_of = docs.withColumn(own, F.col("doc_id").cast("long")), own
+        with scope(spark), brief_shuffles(spark):
+            operator(docs, "doc_id").filter(F.col("doc_id") != F.col(group)).select(F.col("doc_id").alias(own)).write.parquet(path)
+    else:
+        keyed, key_of = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+        with scope(spark), brief_shuffles(spark):
+            groups = operator(keyed, row).select(F.col("doc_id").alias(row), F.col(group).alias(key))
+            named = keyed.select(row, F.col("doc_id").cast("long").alias(other))
+            first = F.min(F.struct(F.col(other).isNull().alias("none"), other, row)).alias("first")
+            chosen = groups.join(named, row).groupBy(key).agg(first).select(F.col(f"first.{row}").alias(row))
+            keyed.select(row).join(chosen, row, "left_anti").write.parquet(path)
+    return _without(keyed, key_of, spark.read.parquet(path)).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

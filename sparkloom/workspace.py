@@ -61,6 +61,24 @@ def scope(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query inside go when it ends, and not once the driver happens to collect its garbage.
+
+    For queries that write their result: a second run of the same frame would have to shuffle again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write *df* as Parquet in the shared folder and read it back.
 

@@ -1,5 +1,6 @@
 """The pipeline's stages one by one against the straightforward versions, and the whole of it."""
 
+import time
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import language, mixing, neardup, queries
-from sparkloom.workspace import shared_dir
+from sparkloom.workspace import materialise, shared_dir
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -99,6 +100,63 @@ def test_dedup_stages_leave_no_texts_where_ids_are_unique(spark, docs):
         assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["chosen"], name
 
 
+def test_dedup_stages_shuffle_no_texts_for_their_choice(spark, docs):
+    """What goes is told from what stays without a shuffle of all texts, however long the list is."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.bytes(6).hex() for _ in range(150)) for _ in range(600)]
+    rows = [(i, t, "en", "x", 1) for i, t in enumerate(texts)] + [(1000 + i, t, "en", "x", 1) for i, t in enumerate(texts[:40])]
+    df = spark.createDataFrame(rows, docs.schema).repartition(3)
+    held, sc = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.sparkContext
+    at, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name in ("exact", "near"):
+            out = STAGES[name](spark, materialise(df, "table"), SF)
+            sc.setJobGroup(f"choice-{name}", name)
+            got = out.collect()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+            stages = {s for j in at.getJobIdsForGroup(f"choice-{name}") for s in at.getJobInfo(j).stageIds if at.getStageInfo(s)}
+            written = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+            assert sorted(r.doc_id for r in got) == list(range(600)), name
+            assert stages and written < sum(map(len, texts)) / 8, (name, written)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_rows_that_share_a_bit_with_one_that_goes_stay(spark, docs, monkeypatch):
+    ids = list(range(-300, 300))
+    df = spark.createDataFrame([(i, f"t{i}", "en", "x", 1) for i in ids], docs.schema).withColumn("own", F.col("doc_id"))
+    gone = materialise(spark.createDataFrame([(i,) for i in ids if i % 3 == 0], "own long"), "gone")
+    for most in (1, 40, corpus_pipeline.MOST_BITS):
+        monkeypatch.setattr(corpus_pipeline, "MOST_BITS", most)
+        got = corpus_pipeline._without(df, "own", gone)
+        assert got.columns == df.columns and sorted(plain(got)) == [(i, f"t{i}") for i in ids if i % 3], most
+    assert corpus_pipeline._without(df, "own", gone.filter("own > 1000")).count() == len(ids)
+
+
+def test_dedup_stages_drop_shuffle_files_query_by_query(spark, docs):
+    """Shuffle files of what the operator wrote are gone before it ends, without waiting for the driver's garbage collection."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in disk.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_") and b.endswith(".data")}
+    name, left = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    held = spark.conf.get(name, None)
+
+    def operator(df, key):
+        before = shuffled()
+        materialise(df.select(key).repartition(7, key), "own")
+        for _ in range(100):
+            left[:] = shuffled() - before
+            if not left:
+                break
+            time.sleep(0.1)
+        return df.select(F.col(key).alias("doc_id"), F.col(key).alias("group"))
+
+    for table in (docs, docs.unionByName(docs)):
+        assert corpus_pipeline._one_of_each(table, operator, "group").count() == table.count()
+        assert left == [] and spark.conf.get(name, None) == held
+
+
 def test_mix_stage_judges_each_row_by_its_own_source(spark, docs):
     """An id in two sources, rows that repeat, null ids and sources, columns with the names used inside."""
     words = " ".join(["w"] * 40)
